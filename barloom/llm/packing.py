@@ -25,7 +25,7 @@ SEPARATOR_ID = 1
 #: Pieces that one task packs at a time; also the size a partition of the pool aims at.
 PIECES_PER_PARTITION = 40_000
 ROUNDS = 4
-#: Words whose ids a Python worker remembers.
+#: Words whose ids a Python worker remembers, in each of two generations.
 CACHED_WORDS = 400_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -36,12 +36,13 @@ class WordTokenizer:
     """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
     The vocabulary splits texts at white space first, so a text's ids are its
-    words' ids joined, and frequent words are looked up.  That holds for the
+    words' ids joined, and words met before are looked up.  That holds for the
     characters in ``PLAIN``, which normalise one by one; a text with any other
     character, or one that may spell a special token, goes to the tokenizer whole.
     """
 
     PLAIN = bytes([9, 10, 13, *range(0x20, 0x7F), *range(0xA1, 0x100)])
+    MARKS = ".,!?;:"
 
     def __init__(self, path: str):
         import os
@@ -50,25 +51,53 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        ends = {i for word, i in self.tokenizer.get_vocab().items() if word.endswith("</w>")}
+        self.ends_word = np.asarray([i in ends for i in range(self.tokenizer.get_vocab_size(True))])
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(x.ids, dtype="<u4").tobytes() for x in found]
 
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Words of letters only, encoded as one text and cut after the ids that end a word."""
+        ids = np.asarray(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u4")
+        cuts = 4 * (np.flatnonzero(self.ends_word[ids]) + 1)
+        if len(cuts) != len(words):
+            return self._encode(words)
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)]
+
     def plain(self, text: str) -> bool:
         try:
             return "<|" not in text and not text.encode("latin-1").translate(None, self.PLAIN)
         except UnicodeEncodeError:
             return False
 
+    def _recall(self, words: set[str]) -> set[str]:
+        """The words that neither generation knows; those of the old one move to the new."""
+        words = words.difference(self.known)
+        again = words.intersection(self.old)
+        self.known.update((w, self.old[w]) for w in again)
+        return words - again
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         words = [x.lower().split() if self.plain(x) else None for x in texts]
         if len(self.known) > CACHED_WORDS:
-            self.known = {}
-        new = list({w for ws in words if ws for w in ws}.difference(self.known))
-        self.known.update(zip(new, self._encode(new), strict=True))
+            self.old, self.known = self.known, {}
+        new = self._recall({w for ws in words if ws for w in ws})
+        # letters and one mark are two parts to the vocabulary, whose ids join
+        marked = {w for w in new if w[-1] in self.MARKS and w[:-1].isalpha()}
+        base = self._recall({w[:-1] for w in marked} | (new - marked) | set(self.MARKS))
+        letters = [w for w in base if w.isalpha()]
+        for at in range(0, len(letters), 2000):
+            part = letters[at : at + 2000]
+            self.known.update(zip(part, self._encode_words(part), strict=True))
+        rest = list(base.difference(letters))
+        self.known.update(zip(rest, self._encode(rest), strict=True))
         get = self.known.__getitem__
+        self.known.update([(w, get(w[:-1]) + get(w[-1])) for w in marked])
         return [b"".join(map(get, ws)) if ws is not None else self._encode([x])[0] for x, ws in zip(texts, words, strict=True)]
 
 
