@@ -133,13 +133,13 @@ def _scan_joined(docs: DataFrame, benchmark: DataFrame, window: int, id_col: str
         own = texts.select("k", "t", F.explode(windows(F.col("ws"), F.lit(size))).alias("x")).select(F.struct("k", F.md5("t").alias("h")).alias("key"), "x.i", "x.w")
         met = own.join(owned.filter(F.col("n") == size), "w").select("key", "item", F.explode(F.sequence("i", F.col("i") + size - 1)).alias("at"))
         hits = met if hits is None else hits.unionAll(met)
-    keyed = docs.withColumn("__key", F.struct(F.xxhash64(text_col).alias("k"), F.md5(F.col(text_col)).alias("h")))
-    n_words = F.size(words(F.coalesce(F.col(text_col), F.lit("")))).cast("long")
+    keyed = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.struct(F.xxhash64(text_col).alias("k"), F.md5(F.col(text_col)).alias("h")).alias("__key"))
+    n_words = F.size(words(F.coalesce(F.col("__text"), F.lit("")))).cast("long")
     if hits is None:
-        return keyed.select(F.col(id_col).alias("doc_id"), n_words.alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
+        return keyed.select(F.col("__id").alias("doc_id"), n_words.alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
     per = hits.groupBy("key").agg(F.count_distinct("at").alias("n_hit"), F.array_sort(F.collect_set("item")).alias("items"))
     return keyed.join(per, F.col("__key") == F.col("key"), "left").select(
-        F.col(id_col).alias("doc_id"), n_words.alias("n_words"), F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items")
+        F.col("__id").alias("doc_id"), n_words.alias("n_words"), F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items")
     )
 
 

@@ -126,7 +126,8 @@ def surrogate_form(kind: Column, canon: Column, key: str, attempt: Column) -> Co
     octets = F.array_join(F.transform(F.split(canon, r"\."), lambda c, i: (1 + _draw(whole, i, 254)).cast("string")), ".")
     words = F.split(canon, " ")
     names = F.array_join(F.transform(words, lambda w, i: _name(kind, w, (i == 0) & (F.size(words) > 1), seed(w))), " ")
-    country = F.when(kind == "phone", F.greatest(F.char_length(canon) - 10, F.lit(0))).otherwise(F.lit(0))
+    # a country code and a card number's first digit say what it is, not whose
+    country = F.when(kind == "phone", F.greatest(F.char_length(canon) - 10, F.lit(0))).when(kind == "card", F.lit(1)).otherwise(F.lit(0))
     return (
         F.when(kind == "email", F.concat(_like(local, whole), F.lit("@"), _like(lower_domain, site), F.lit("."), top))
         .when(kind.isin("phone", "card", "ssn"), _digits(canon, whole, country))

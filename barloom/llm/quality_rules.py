@@ -37,9 +37,9 @@ def count_of(text: Column, chars: str) -> Column:
 def line_failure(line: Column) -> Column:
     """Name of the first rule that a line fails, or null; lines without a word fail none.
 
-    punctuation: five words or more without a sentence mark at any word's end,
-    or marks at the ends of more than half of ten words or more.
     navigation: separators or symbols on more than a quarter of the words.
+    punctuation: five words or more without a sentence mark at any word's end,
+    or doubled marks at the ends of more than half of ten words or more.
     shouting: ten words or more with most letters A-Z in upper case.
     boilerplate: a notice phrase in a line of at most 40 words.
     """
@@ -50,8 +50,8 @@ def line_failure(line: Column) -> Column:
     upper, lower = count_of(line, "A-Z"), count_of(line, "a-z")
     return (
         F.when(~line.rlike(r"[^\x20\x09-\x0D]"), None)
-        .when((n >= 5) & (ends == 0) | (n >= 10) & (doubled > 0.5 * n), "punctuation")
         .when(marks > 0.25 * n, "navigation")
+        .when((n >= 5) & (ends == 0) | (n >= 10) & (doubled > 0.5 * n), "punctuation")
         .when((n >= 10) & (upper > lower), "shouting")
         .when((n <= MAX_BOILERPLATE_WORDS) & F.lower(line).rlike(BOILERPLATE), "boilerplate")
     )

@@ -34,7 +34,7 @@ SCHEMA = HEADERS + ", payload binary"
 # fixed names of the WARC 1.1 format; the payload's own length is an extension field
 FIELDS = {
     "WARC-Record-ID": "record_id", "WARC-Type": "record_type", "WARC-Target-URI": "target_uri", "WARC-Payload-Digest": "payload_digest",
-    "WARC-Refers-To": "refers_to", "Content-Type": "content_type", "X-Payload-Length": "payload_length",
+    "X-Payload-Length": "payload_length", "WARC-Refers-To": "refers_to", "Content-Type": "content_type",
 }
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
