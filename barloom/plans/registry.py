@@ -1,4 +1,28 @@
 """All registered queries of the market-analytics operators and their oracle SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+QUERIES: dict[str, Callable] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register f(spark, sf_dir) under a name, with the SQL that must give the same rows."""
+
+    def add(f):
+        assert name not in QUERIES, name
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def flagship(spark, d):
+    return QUERIES["entry_ic_by_series"](spark, d)
+
+
+from barloom.plans import diagnostics_q, features_q, labels_q, quality_q, signals_q, statistics_q, windows_q  # noqa: E402, F401
