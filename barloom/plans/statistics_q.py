@@ -84,7 +84,7 @@ def s8b(spark, d):
 
 
 SEEDS = 5
-_SD = f"{O1}, sd AS (SELECT o1.*, s.seed FROM o1, (SELECT unnest([7, 8, 9, 10, 11]) AS seed) s)"
+_SD = f"{O1}, sd AS (SELECT o1.*, s.seed FROM o1, (SELECT unnest([7, 8, 9, 10, 11]::BIGINT[]) AS seed) s)"
 _SH = f"{_SD}, sh AS (SELECT *, coalesce(lead(y) OVER w, first(y) OVER (PARTITION BY series_id, seed ORDER BY md5(concat_ws('|', seed, series_id, t)), t)) AS ys FROM sd WINDOW w AS (PARTITION BY series_id, seed ORDER BY md5(concat_ws('|', seed, series_id, t)), t))"
 
 
