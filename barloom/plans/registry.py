@@ -1,4 +1,4 @@
-"""All registered queries of the market-analytics operators and their oracle SQL."""
+"""The registry of queries and their oracle SQL; barloom.plans.catalog fills it."""
 
 from __future__ import annotations
 
@@ -19,10 +19,3 @@ def query(name: str, sql: str | None = None):
         return f
 
     return add
-
-
-def flagship(spark, d):
-    return QUERIES["entry_ic_by_series"](spark, d)
-
-
-from barloom.plans import diagnostics_q, features_q, labels_q, quality_q, signals_q, statistics_q, windows_q  # noqa: E402, F401
