@@ -34,48 +34,45 @@ def count_of(text: Column, chars: str) -> Column:
     return F.char_length(F.regexp_replace(text, f"[^{chars}]+", ""))
 
 
-def line_failure(line: Column) -> Column:
-    """Name of the first rule that a line fails, or null; lines without a word fail none.
+def line_failure(line: Column, words: Column) -> Column:
+    """Name of the first rule that a line of so many words fails, or null; lines without a word fail none.
 
     navigation: separators or symbols on more than a quarter of the words.
     punctuation: five words or more without a sentence mark at any word's end,
     or doubled marks at the ends of more than half of ten words or more.
-    shouting: ten words or more with most letters A-Z in upper case.
+    shouting: ten words or more, with more than two capitals A-Z for each.
     boilerplate: a notice phrase in a line of at most 40 words.
+    Counts are taken only of lines that hold what is counted.
     """
-    n = F.size(F.split(F.trim(line), SPACE))
-    ends = F.size(F.split(F.concat(line, F.lit(" ")), r"[.!?…。！？][\"'”’)\]]*[\x20\x09-\x0D]")) - 1
+    marks = r"#*$%&|<>»›•→~^=\\_{}\[\]"
     doubled = F.size(F.split(F.concat(line, F.lit(" ")), r"[.!?]{2,}[\x20\x09-\x0D]")) - 1
-    marks = count_of(line, r"#*$%&|<>»›•→~^=\\_{}\[\]")
-    upper, lower = count_of(line, "A-Z"), count_of(line, "a-z")
     return (
         F.when(~line.rlike(r"[^\x20\x09-\x0D]"), None)
-        .when(marks > 0.25 * n, "navigation")
-        .when((n >= 5) & (ends == 0) | (n >= 10) & (doubled > 0.5 * n), "punctuation")
-        .when((n >= 10) & (upper > lower), "shouting")
-        .when((n <= MAX_BOILERPLATE_WORDS) & F.lower(line).rlike(BOILERPLATE), "boilerplate")
+        .when(line.rlike(f"[{marks}]") & (count_of(line, marks) > 0.25 * words), "navigation")
+        .when((words >= 5) & ~line.rlike(r"[.!?…。！？][\"'”’)\]]*(?:[\x20\x09-\x0D]|$)"), "punctuation")
+        .when((words >= 10) & line.rlike(r"[.!?]{2}") & (doubled > 0.5 * words), "punctuation")
+        .when((words >= 10) & line.rlike("[A-Z]{3}") & (count_of(line, "A-Z") > 2 * words), "shouting")
+        .when((words <= MAX_BOILERPLATE_WORDS) & F.lower(line).rlike(BOILERPLATE), "boilerplate")
     )
 
 
-def repeated_words(words: Column) -> Column:
-    """Windows of three words, sorted, each with its place: the input of covered_words."""
+def window_hashes(words: Column) -> Column:
+    """Hashes of the windows of three words, in order."""
     places = F.when(F.size(words) >= 3, F.sequence(F.lit(0), F.size(words) - 3))
-    windows = F.transform(places, lambda i: F.struct(F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("w"), i.alias("i")))
-    return F.array_sort(F.coalesce(windows, F.array().cast("array<struct<w:string,i:int>>")))
+    return F.coalesce(F.transform(places, lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))), F.array().cast("array<bigint>"))
 
 
-def covered_words(windows: Column) -> Column:
-    """Words in windows that occur twice or more, from windows sorted by text."""
-    at = F.sequence(F.lit(0), F.greatest(F.size(windows) - 1, F.lit(0)))
-
-    def same(k, other):
-        return F.coalesce(F.get(windows, other)["w"] == F.get(windows, k)["w"], F.lit(False))
-
-    found = F.filter(at, lambda k: same(k, k + 1) | F.when(k > 0, same(k, k - 1)).otherwise(False))
-    starts = F.array_sort(F.transform(found, lambda k: F.get(windows, k)["i"]))
+def with_covered_words(frame: DataFrame, hashes: str, out: str) -> DataFrame:
+    """Adds ``out``: words in windows that occur twice or more.  Each step is a column, so none is computed per element."""
+    size = F.size(hashes)
+    rest = [c for c in frame.columns if c != hashes]
+    d = frame.select(*rest, hashes, F.when(F.size(F.array_distinct(hashes)) < size, F.sort_array(hashes)).alias("__s"))
+    twice = F.filter("__s", lambda x, i: (i > 0) & (x == F.get("__s", i - 1)))
+    d = d.select(*rest, hashes, F.array_distinct(twice).alias("__twice"))
+    starts = F.filter(F.sequence(F.lit(0), F.size(hashes) - 1), lambda k: F.array_contains("__twice", F.get(hashes, k)))
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end"))
     total = F.aggregate(starts, zero, lambda acc, x: F.struct((acc["n"] + x + 3 - F.greatest(acc["end"], x)).alias("n"), (x + 3).alias("end")))
-    return F.when(F.size(windows) > 0, total["n"]).otherwise(F.lit(0).cast("long"))
+    return d.select(*rest, F.when(F.col("__twice").isNotNull(), total["n"]).otherwise(F.lit(0).cast("long")).alias(out))
 
 
 def judge(docs: DataFrame, text_col: str = "text", max_lost: float = MAX_LOST, keep: list[str] | None = None) -> DataFrame:
@@ -92,19 +89,18 @@ def judge(docs: DataFrame, text_col: str = "text", max_lost: float = MAX_LOST, k
     text = F.coalesce(F.col(text_col), F.lit(""))
     first = docs.select(own, text.alias("t"), words_of(text).alias("ws"), F.split(text, "\n").alias("lines"))
     second = first.select(
-        "own", "t", F.size("ws").cast("long").alias("n_words"), repeated_words(F.col("ws")).alias("windows"),
-        F.transform("lines", lambda x: F.struct(x.alias("line"), line_failure(x).alias("rule"))).alias("lines"),
+        "own", "t", F.size("ws").cast("long").alias("n_words"), window_hashes(F.col("ws")).alias("windows"),
+        F.transform("lines", lambda x: F.struct(x.alias("line"), F.size(F.split(x, " ")).alias("n"))).alias("lines"),
         F.filter("lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("worded"),
     )
+    second = with_covered_words(second, "windows", "n_repeat_words")
     third = second.select(
-        "own", "n_words",
+        "own", "n_words", "n_repeat_words",
         F.char_length(F.regexp_replace("t", SPACE, "")).cast("long").alias("word_chars"),
-        count_of(F.col("t"), SYMBOLS).cast("long").alias("n_symbols"),
+        F.when(F.col("t").rlike(f"[{SYMBOLS}]"), count_of(F.col("t"), SYMBOLS)).otherwise(0).cast("long").alias("n_symbols"),
         (F.size("worded") - F.size(F.array_distinct("worded"))).cast("long").alias("n_dup_lines"),
-        covered_words(F.col("windows")).alias("n_repeat_words"),
-        "lines",
-        F.filter("lines", lambda x: x["rule"].isNotNull()).alias("failed"),
-    )
+        F.transform("lines", lambda x: F.struct(x["line"].alias("line"), line_failure(x["line"], x["n"]).alias("rule"))).alias("lines"),
+    ).withColumn("failed", F.filter("lines", lambda x: x["rule"].isNotNull()))
     size = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda acc, x: acc + F.char_length(x["line"]))
     judged = third.select(
         "own", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
