@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm.common import table
+from barloom.llm.oracles import ORACLE_SQL  # noqa: F401
 
 
 #: The registered query's key; a deployment passes its own secret to replace_entities.
@@ -99,4 +100,4 @@ QUERIES = {
         op6_quality, op7_warc, op8_html_extract, op9_pii, op10_line_dedup,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+

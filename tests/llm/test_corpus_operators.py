@@ -156,7 +156,7 @@ def test_line_rules(spark):
         "THIS IS SHOUTED AT YOU BY SOMEONE WHO MEANS IT VERY MUCH.": "shouting", "Licensed under CC BY-NC 4.0.": "boilerplate",
         "Words!! Words!! Words!! Words!! Words!! Words!! Words!! Words!! Words!! Words!!": "punctuation",
     }
-    frame = spark.createDataFrame([(k,) for k in cases], "line string").select("line", line_failure(F.col("line")).alias("rule"))
+    frame = spark.createDataFrame([(k,) for k in cases], "line string").select("line", line_failure(F.col("line"), F.size(F.split("line", " "))).alias("rule"))
     assert {r.line: r.rule for r in frame.collect()} == cases
 
 
@@ -444,7 +444,8 @@ def brute_lines(found, width=12):
             if norm(line):
                 home.setdefault(norm(line), doc)
     names = list(home)
-    sets = [{n[m.start() : m.start() + width] for m in re.finditer(r"(?<![^ ])(?=[^ ])", n)} for n in names]
+    split = [n.split(" ") for n in names]
+    sets = [{w if len(w.encode()) > width else " ".join([w, *(ws[i + 1 : i + 3] + ["", ""])[:2]])[:width] for i, w in enumerate(ws)} for ws in split]
     roots = brute_components(sets, lambda a, b: 5 * len(a & b) >= 4 * len(a | b))
     return norm, home, names, roots
 
