@@ -9,6 +9,7 @@ second codeword flags the document as ambiguous.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 DIMENSIONS = 4096
 #: Bound of the training sample: documents of a language that are fitted on.
-SAMPLE_PER_LANGUAGE = 1000
+SAMPLE_PER_LANGUAGE = 500
 #: Posterior gap between the best two codewords under which a document is ambiguous.
 AMBIGUOUS = 0.1
 UNDETERMINED = "und"
@@ -112,7 +113,6 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
         return LanguageModel([], np.zeros((0, 1)), np.zeros((DIMENSIONS, 1)), np.zeros(1), np.ones(1))
     share = F.element_at(F.create_map(*[F.lit(v) for l, n in sorted(counts.items()) for v in (l, min(1.0, per_language / n))]), F.col("l"))
     chance = F.pmod(F.xxhash64("i", "t"), F.lit(1_000_000)) / 1_000_000
-    languages = sorted(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,13 +121,18 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
                 vectors = [features(t).astype(np.float16).tobytes() for t in part.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(vectors, pa.binary()), part.column(1)], names=["x", "l"])
 
-    sample = rows.filter(chance < share).select("t", "l").mapInArrow(run, "x binary, l string").toArrow()
-    x = np.frombuffer(b"".join(sample.column("x").to_pylist()), dtype=np.float16).reshape(-1, DIMENSIONS).astype(np.float32)
-    labels = sample.column("l").to_pylist()
-    order = np.lexsort((x[:, :64].sum(1), np.asarray(labels)))
-    x, labels = x[order], [labels[k] for k in order]
-    seen = [l for l in languages if l in set(labels)]
-    return fit(x, np.asarray([seen.index(l) for l in labels]), seen)
+    def fit_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sorted((l, x) for batch in batches for x, l in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        seen = sorted({l for l, _ in found})
+        if seen:
+            x = np.frombuffer(b"".join([v for _, v in found]), dtype=np.float16).reshape(-1, DIMENSIONS).astype(np.float32)
+            model = fit(x, np.asarray([seen.index(l) for l, _ in found]), seen)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    # the sample is bounded, so one task fits the model and the driver gets only that
+    sample = rows.filter(chance < share).select("t", "l").mapInArrow(run, "x binary, l string")
+    found = sample.repartition(1).mapInArrow(fit_all, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else LanguageModel([], np.zeros((0, 1)), np.zeros((DIMENSIONS, 1)), np.zeros(1), np.ones(1))
 
 
 def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
