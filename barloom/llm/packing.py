@@ -10,6 +10,7 @@ dealt anew.  A round's result is taken only if it needs fewer bins.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -51,8 +52,11 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        ends = {i for word, i in self.tokenizer.get_vocab().items() if word.endswith("</w>")}
-        self.ends_word = np.asarray([i in ends for i in range(self.tokenizer.get_vocab_size(True))])
+        self.split = self.tokenizer.model.tokenize
+        # the vocabulary's byte alphabet: printable bytes stand for themselves, the others for characters from 256 on
+        own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        rest = [b for b in range(256) if b not in own]
+        self.alphabet = {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -60,14 +64,12 @@ class WordTokenizer:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(x.ids, dtype="<u4").tobytes() for x in found]
 
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        """Words of letters only, encoded as one text and cut after the ids that end a word."""
-        ids = np.asarray(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u4")
-        cuts = 4 * (np.flatnonzero(self.ends_word[ids]) + 1)
-        if len(cuts) != len(words):
-            return self._encode(words)
-        raw = ids.tobytes()
-        return [raw[a:b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)]
+    def _encode_word(self, word: str) -> bytes:
+        """A word of letters only is one piece to the vocabulary's model, which takes it in the byte alphabet."""
+        if not word.isascii():
+            word = "".join([self.alphabet[b] for b in word.encode()])
+        ids = [x.id for x in self.split(word)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def plain(self, text: str) -> bool:
         try:
@@ -91,9 +93,7 @@ class WordTokenizer:
         marked = {w for w in new if w[-1] in self.MARKS and w[:-1].isalpha()}
         base = self._recall({w[:-1] for w in marked} | (new - marked) | set(self.MARKS))
         letters = [w for w in base if w.isalpha()]
-        for at in range(0, len(letters), 2000):
-            part = letters[at : at + 2000]
-            self.known.update(zip(part, self._encode_words(part), strict=True))
+        self.known.update([(w, self._encode_word(w)) for w in letters])
         rest = list(base.difference(letters))
         self.known.update(zip(rest, self._encode(rest), strict=True))
         get = self.known.__getitem__
