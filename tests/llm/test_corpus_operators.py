@@ -491,6 +491,25 @@ def test_line_dedup_odd(spark, odd):
     assert (one.text, one.n_lines, one.n_dropped) == ("a b\n\nc d e f", 3, 1)
 
 
+def every_shingle(line, width=5):
+    return {line[i : i + width] for i in range(max(len(line) - width, 0) + 1)}
+
+
+def test_signatures_are_the_least_of_all_shingles(spark):
+    """One order for all lines, whatever their number of rare shingles: lines next to the switch agree with brute force."""
+    from barloom.llm import line_dedup
+
+    lines = ["the bat", "abc", "one more line on a river", "see the house there at noon on the street in the rain", "big wig pays your key, vexed by zebra 77", "ночью идёт дождь", "x" * 300]
+    frame = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r.doc_id: [r[c] for c in line_dedup._SIGNATURE if r[c] is not None] for r in line_dedup.line_table(frame).collect()}
+    from xxhash import xxh64_intdigest
+
+    for k, line in enumerate(lines):
+        # the rank of a rare shingle is the complement of half its hash, so it is below all others
+        ranks = {(~(h >> 1) if len(x) == 5 and (x[0] in "bgkpvwxyz0123456789" or ord(x[0]) > 127) else h >> 1) for x in every_shingle(line) for h in [xxh64_intdigest(x.encode(), 42)]}
+        assert got[k] == sorted(ranks)[:6], line
+
+
 # --- pipeline
 
 
