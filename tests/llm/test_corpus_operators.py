@@ -495,6 +495,38 @@ def every_shingle(line, width=5):
     return {line[i : i + width] for i in range(max(len(line) - width, 0) + 1)}
 
 
+def kept_lines(spark, lines):
+    """The lines that stay when each is a document of its own, in their order."""
+    from barloom.llm.line_dedup import dedup_lines
+
+    frame = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    return [r.text for r in rows(dedup_lines(frame), "doc_id") if r.text]
+
+
+def near_pairs(number, sizes, edits, seed):
+    """Pairs of random lines of so many words, the second with letters changed, at a similarity of 0.85 at least."""
+    rng = np.random.default_rng(seed)
+    made = []
+    while len(made) < number:
+        line = " ".join("".join(rng.choice(list("abcdefghiklmnoprstuwy"), rng.integers(2, 9))) for _ in range(rng.integers(*sizes)))
+        other = list(line)
+        for at in rng.choice(len(line), edits, replace=False):
+            other[at] = "q"
+        other = "".join(other)
+        x, y = every_shingle(line), every_shingle(other)
+        if len(x & y) >= 0.85 * len(x | y):
+            made.append((line, other))
+    return made
+
+
+def test_near_lines_of_all_sizes_meet(spark):
+    """Short lines whose copies have few rare shingles, or one side more than the other, are found like long ones."""
+    pairs = [*near_pairs(60, (10, 16), 1, 1), *near_pairs(60, (16, 40), 1, 2), *near_pairs(60, (30, 60), 2, 3)]
+    kept = set(kept_lines(spark, [x for p in pairs for x in p]))
+    assert all(x in kept for x, _ in pairs)
+    assert sum(y in kept for _, y in pairs) <= 0.05 * len(pairs)
+
+
 def test_signatures_are_the_least_of_all_shingles(spark):
     """One order for all lines, whatever their number of rare shingles: lines next to the switch agree with brute force."""
     from barloom.llm import line_dedup
@@ -510,6 +542,20 @@ def test_signatures_are_the_least_of_all_shingles(spark):
         assert got[k] == sorted(ranks)[:6], line
 
 
+def test_lines_without_spaces_and_changed_letters_merge(spark):
+    """Scripts without spaces, long addresses and Cyrillic lines have shingles at every character."""
+    rng = np.random.default_rng(3)
+    thai = "".join(chr(0x0E01 + int(c)) for c in rng.integers(0, 40, 120))
+    url = "https://host.example/" + "".join(rng.choice(list("abcdef0123456789/-_"), 120))
+    cyrillic = " ".join("".join(chr(0x430 + int(c)) for c in rng.integers(0, 32, 9)) for _ in range(14))
+    emoji = "".join(chr(0x1F600 + int(c)) for c in rng.integers(0, 60, 80))
+    base = [thai, url, cyrillic, emoji]
+    changed = [line[:60] + "q" + line[61:] for line in base]
+    # the same words written backwards are another line
+    other = " ".join(w[::-1] for w in cyrillic.split())
+    assert kept_lines(spark, [*base, *changed, other]) == [*base, other]
+
+
 # --- pipeline
 
 
