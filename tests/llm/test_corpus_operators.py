@@ -556,6 +556,37 @@ def test_lines_without_spaces_and_changed_letters_merge(spark):
     assert kept_lines(spark, [*base, *changed, other]) == [*base, other]
 
 
+def brute_signature(line):
+    """The six least ranks: rare shingles' complements of half their hash come before all others."""
+    from xxhash import xxh64_intdigest
+
+    rare = lambda x: len(x) == 5 and (x[0] in "bgkpvwxyz0123456789" or ord(x[0]) > 127)
+    return sorted({~(h >> 1) if rare(x) else h >> 1 for x in every_shingle(line) for h in [xxh64_intdigest(x.encode(), 42)]})[:6]
+
+
+def test_near_lines_outside_the_hub_meet_on_any_three(spark):
+    """Near copies whose only bands of two belong to a more frequent line that is unlike both, and whose threes are no neighbours."""
+    rng = np.random.default_rng(8)
+    text = lambda n: "".join(rng.choice(list("abcdefghiklmnoprstuwy    "), n)).replace("  ", "e ").strip()
+    neighbours = lambda s, n: {tuple(s[i : i + n]) for i in range(len(s) - n + 1)}
+    cases = []
+    while len(cases) < 5:
+        shared = text(80)
+        hub, line = shared + text(60), shared + text(60)
+        other = list(line)
+        for at in rng.choice(len(line), 3, replace=False):
+            other[at] = "q"
+        other = "".join(other)
+        x, y = every_shingle(line), every_shingle(other)
+        h, a, b = map(brute_signature, (hub, line, other))
+        least = set(sorted({*a, *b})[:6])
+        met = neighbours(a, 2) & neighbours(b, 2)
+        if 0.8 <= len(x & y) / len(x | y) and len(set(a) & set(b) & least) >= 3 and not neighbours(a, 3) & neighbours(b, 3) and met and met <= neighbours(h, 2):
+            cases.append((hub, line, other))
+    lines = [x for hub, line, other in cases for x in (hub, hub, hub, line, other)]
+    assert kept_lines(spark, lines) == [x for hub, line, _ in cases for x in (hub, line)]
+
+
 # --- pipeline
 
 
