@@ -56,13 +56,15 @@ def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     for k, c in enumerate((_DIGIT, _SYMBOL, _BANG, _PIPE, _OTHER, _WIDE), start=1):
         x[:, k] = counts[:, c] / size
     seen: set[str] = set()
-    for k, line in enumerate(lines):
+    lowered = text.lower()
+    notices = [w for w in _NOTICE if w in lowered]
+    low_lines = lowered.split("\n") if notices else lines
+    for k, (line, low) in enumerate(zip(lines, low_lines, strict=True)):
         words = line.split()
         n = max(len(words), 1)
-        low = line[:400].lower() if "icen" in line or len(line) < 200 else ""
         x[k, 7:15] = (
             line.rstrip().endswith(_ENDS), len(set(words)) / n, sum(map(eq, words, words[1:])) / n, line in seen and bool(words),
-            min(len(line) / n, 40) / 10, any(w in low for w in _NOTICE), not words, line[:1].isupper(),
+            min(len(line) / n, 40) / 10, any(w in low for w in notices), not words, line[:1].isupper(),
         )
         x[k, 15], x[k, 16] = np.log1p(n) / 6, np.log1p(len(line)) / 8
         seen.add(line)

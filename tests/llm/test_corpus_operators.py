@@ -334,6 +334,16 @@ def test_quality_separates_labels(spark, odd):
     assert score(odd, train(odd, spark.createDataFrame([(4, 1), (4, None), (None, 0)], "doc_id long, quality int"))).count() == 10
 
 
+def test_notices_are_seen_in_whole_lines():
+    from barloom.llm.quality_crf import _NOTICE, line_features
+
+    long = "A sentence that goes on and on. " * 40
+    for notice in _NOTICE:
+        lines = [long + notice.upper() + " x", notice + long, long, "short " + notice.title(), "İ" * 300 + notice]
+        x, n = line_features("\n".join(lines))
+        assert x[:, 12].tolist() == [1, 1, 0, 1, 1], notice
+
+
 # --- op7
 
 
