@@ -627,3 +627,18 @@ def test_digest_of_items(spark):
 
     got = spark.createDataFrame([(["10", "9"],), ([],)], "items array<string>").select(items_digest("items").alias("d")).collect()
     assert [r.d for r in got] == [hashlib.sha256(b"10,9").hexdigest(), hashlib.sha256(b"").hexdigest()]
+
+
+def test_pipeline_keeps_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(5)
+    a, b, c, d = (" ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(60)) for _ in range(4))
+    # a: null ids only; b: repeated rows and a null id; c and d: different texts of one id, c also under a smaller id
+    data = [(None, a), (None, a), (3, b), (3, b), (None, b), (7, d), (7, c), (5, c), (None, d + " other words of a text that is not near")]
+    frame = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in data], DOCS)
+    got = corpus_pipeline.dedup_documents(spark, frame, SF)
+    assert got.columns == frame.columns
+    found = collections.Counter((r.doc_id, r.text) for r in got.collect())
+    prints = {brute_fingerprint(t) for _, t in data}
+    assert len(prints) == 5 and found == collections.Counter([(None, a), (3, b), (7, d), (5, c), (None, data[-1][1])])
