@@ -6,7 +6,8 @@ which every letter and digit of the surrogate is drawn, so one entity has one
 surrogate everywhere, however it is written.  Surrogates keep the type, the
 layout, letter case, script, a name's gender, and a card number's checksum.
 Surrogates that two entities share, or that are themselves an entity of the
-corpus, are found over all distinct entities and drawn anew.
+corpus, are found over all distinct entities and drawn anew.  Where drawing
+anew does not settle it, as few forms are left, a surrogate gets longer.
 """
 
 from __future__ import annotations
@@ -37,6 +38,10 @@ PATTERNS = {
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without a match of this has no entity; it is cheap to test.
 HINT = rf"[0-9@=:]|(?<!\p{{L}})(?:{_MALE}|{_FEMALE})\.? \p{{Lu}}"
+#: Draws of a surrogate in the entity's own layout; each one after these adds a character.
+REDRAWS = 20
+#: Draws after which a clash is an error: there are over 10^40 longer forms by then.
+MOST_DRAWS = 60
 _LATIN = [c + v for c in "bdfglmnrstv" for v in "aeio"]
 _CYRILLIC = [c + v for c in "бвдлмнрст" for v in "аео"]
 
@@ -128,13 +133,23 @@ def surrogate_form(kind: Column, canon: Column, key: str, attempt: Column) -> Co
     names = F.array_join(F.transform(words, lambda w, i: _name(kind, w, (i == 0) & (F.size(words) > 1), seed(w))), " ")
     # a country code and a card number's first digit say what it is, not whose
     country = F.when(kind == "phone", F.greatest(F.char_length(canon) - 10, F.lit(0))).when(kind == "card", F.lit(1)).otherwise(F.lit(0))
+    # too few forms are left in the entity's own layout: characters are added, so that the forms never run out
+    letters = F.translate(whole, "0123456789", "ghijklmnop")
+    drawn = (
+        F.when(kind.isin("phone", "card", "ssn"), F.translate(whole, "abcdef", "012345"))
+        .when(kind == "ip", F.regexp_replace(F.translate(whole, "abcdef", "012345"), "(.)", ".$1"))
+        .when(kind.isin("iban", "cloud_key"), F.upper(letters))
+        .when(kind.isin("male", "female") & canon.rlike(r"\p{IsCyrillic}"), F.translate(whole, "0123456789abcdef", "абвгдежзиклмнопр"))
+        .otherwise(letters)
+    )
+    more = F.when(attempt > REDRAWS, F.substring(drawn, F.lit(1), F.when(kind == "ip", 2).otherwise(1) * (attempt - REDRAWS))).otherwise("")
     return (
-        F.when(kind == "email", F.concat(_like(local, whole), F.lit("@"), _like(lower_domain, site), F.lit("."), top))
-        .when(kind.isin("phone", "card", "ssn"), _digits(canon, whole, country))
-        .when(kind == "ip", octets)
-        .when(kind.isin("male", "female"), names)
-        .when(kind.isin("cloud_key", "iban"), F.concat(F.substring(canon, 1, 2), F.when(kind == "iban", "").otherwise(F.substring(canon, 3, 2)), _like(F.substring(canon, F.when(kind == "iban", 3).otherwise(5), F.lit(40)), whole)))
-        .otherwise(_like(canon, whole))
+        F.when(kind == "email", F.concat(_like(local, whole), more, F.lit("@"), _like(lower_domain, site), F.lit("."), top))
+        .when(kind.isin("phone", "card", "ssn"), F.concat(_digits(canon, whole, country), more))
+        .when(kind == "ip", F.concat(octets, more))
+        .when(kind.isin("male", "female"), F.concat(names, more))
+        .when(kind.isin("cloud_key", "iban"), F.concat(F.substring(canon, 1, 2), F.when(kind == "iban", "").otherwise(F.substring(canon, 3, 2)), _like(F.substring(canon, F.when(kind == "iban", 3).otherwise(5), F.lit(40)), whole), more))
+        .otherwise(F.concat(_like(canon, whole), more))
     )
 
 
@@ -144,7 +159,7 @@ def written(kind: Column, entity: Column, canon: Column, form: Column) -> Column
     laid = F.array_join(F.transform(F.split(entity, ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(form, place(i) + 1, F.lit(1))).otherwise(c)), "")
     spaced = F.trim(F.regexp_replace(form, "(.{4})", "$1 "))
     return (
-        F.when(kind.isin("phone", "card", "ssn"), laid)
+        F.when(kind.isin("phone", "card", "ssn"), F.concat(laid, F.substring(form, F.char_length(canon) + 1, F.char_length(form))))
         .when(kind == "iban", F.when(F.instr(entity, " ") > 0, spaced).otherwise(form))
         .when((kind == "email") & (entity == F.upper(entity)), F.upper(form))
         .when(kind.isin("secret", "male", "female"), F.concat(F.substring(entity, F.lit(1), F.char_length(entity) - F.char_length(canon)), form))
@@ -169,7 +184,8 @@ def collisions(entities: DataFrame, key: str) -> DataFrame:
     entities: distinct (kind, canon).  A surrogate clashes if it is an entity
     of the corpus itself, its own included, or another entity's surrogate; of
     entities that share one the smallest keeps it.  The table is as a rule
-    empty; it is never collected.
+    empty; it is never collected.  No clash is left: from REDRAWS on forms get
+    longer, and a clash after MOST_DRAWS is an error.
     """
     scratch = Scratch(entities.sparkSession)
     form = lambda df: df.withColumn("form", surrogate_form(F.col("kind"), F.col("canon"), key, F.col("attempt")))
@@ -183,8 +199,10 @@ def collisions(entities: DataFrame, key: str) -> DataFrame:
         clash = shared.unionAll(real.filter("kind not in ('male', 'female')")).distinct()
         turn += 1
         clash = scratch.save(clash, f"clash-{turn}")
-        if clash.isEmpty() or turn > 20:
+        if clash.isEmpty():
             return now.filter("attempt > 0").select("kind", "canon", "attempt")
+        if turn > MOST_DRAWS:
+            raise RuntimeError(f"{clash.count()} entities share a surrogate or have that of an entity after {MOST_DRAWS} draws")
         moved = form(now.join(clash, ["kind", "canon"]).select("kind", "canon", (F.col("attempt") + 1).alias("attempt")))
         now = scratch.save(now.join(clash, ["kind", "canon"], "left_anti").select("kind", "canon", "attempt", "form").unionByName(moved.select("kind", "canon", "attempt", "form")), f"surrogates-{turn}")
 

@@ -443,6 +443,28 @@ def test_pii_collisions_are_drawn_anew(spark):
     assert len(set(new)) == len(new) and not real.intersection(new)
 
 
+def test_pii_small_classes_are_settled(spark, monkeypatch):
+    """All locals of one letter and of one digit, secrets without a letter or digit, and the layout of longer forms."""
+    from barloom.llm import pii
+
+    monkeypatch.setattr(pii, "REDRAWS", 2)
+    mails = [f"{c}@corp.example.com" for c in "abcdefghijklmnopqrstuvwxyz0123456789"]
+    signs = [f"token={c}" for c in ("------", "......", "--..--")]
+    frame = spark.createDataFrame([(k, f"at {e} end") for k, e in enumerate([*mails, *signs])], "doc_id long, text string")
+    got = rows(pii.replace_entities(frame, "k"), "doc_id")
+    new = [r.text for r in got]
+    assert all(r.n_entities == 1 for r in got) and len(set(new)) == len(new)
+    assert not set(mails) & {x[3:-4] for x in new}
+    assert all(re.fullmatch(r"at [a-z0-9]+@[a-z.]+ end", x) for x in new[:36]) and not set(signs) & {x[3:-4] for x in new}
+    wide = spark.createDataFrame([("phone", "+1 22 33", "12233"), ("male", "Mr Smith", "Smith"), ("female", "Госпожа Иванова", "Иванова"), ("iban", "DE44 5001", "DE445001"), ("card", "4111111111111111", "4111111111111111")], "kind string, entity string, canon string")
+    for attempt, extra in ((2, 0), (5, 3)):
+        made = wide.select("kind", "canon", pii.surrogate_form(F.col("kind"), F.col("canon"), "k", F.lit(attempt)).alias("form"), "entity")
+        for r in made.withColumn("out", pii.written(F.col("kind"), F.col("entity"), F.col("canon"), F.col("form"))).collect():
+            if r.kind not in ("male", "female"):
+                assert len(r.form) == len(r.canon) + extra and len(re.sub(r"\s", "", r.out)) == len(re.sub(r"\s", "", r.entity)) + extra, r
+            assert r.kind != "female" or re.fullmatch("Госпожа [А-Я][а-я]+", r.out)
+
+
 # --- op10
 
 
