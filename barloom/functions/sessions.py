@@ -68,9 +68,12 @@ def roll_guard(rows: DataFrame, calendar: DataFrame, root: str, entry: str, term
 
     More than one roll in the window is ambiguous and dropped under every policy.
     """
-    cal = calendar.select(F.col("root").alias("__root"), F.col("roll_date").alias("__roll"))
-    crossed = (F.col(root) == F.col("__root")) & (F.to_date(local(entry)) < F.col("__roll")) & (F.col("__roll") <= F.to_date(local(terminal)))
-    met = rows.join(F.broadcast(cal), crossed, "left").groupBy(*[F.col(f"`{c}`") for c in rows.columns]).agg(F.count("__roll").alias("rolls_crossed"), F.min("__roll").alias("first_roll"))
+    # the calendar is folded to one list a root, so rows are neither grouped nor repeated
+    rolls = calendar.groupBy(F.col("root").alias("__root")).agg(F.sort_array(F.collect_list("roll_date")).alias("__rolls"))
+    first, last = F.to_date(local(entry)), F.to_date(local(terminal))
+    crossed = F.coalesce(F.filter("__rolls", lambda r: (first < r) & (r <= last)), F.array().cast("array<date>"))
+    met = rows.join(rolls, F.col(root) == F.col("__root"), "left").withColumn("__crossed", crossed)
+    met = met.select(*[F.col(f"`{c}`") for c in rows.columns], F.size("__crossed").cast("long").alias("rolls_crossed"), F.get("__crossed", F.lit(0)).alias("first_roll"))
     return met.withColumn("guard_action", F.when(F.col("rolls_crossed") == 0, "keep").when(F.col("rolls_crossed") == 1, policy).otherwise("drop"))
 
 
@@ -114,10 +117,12 @@ def active_members(universe: DataFrame, date) -> DataFrame:
 
 def resolve_symbols(rows: DataFrame, master: DataFrame, symbol: str, date: str) -> DataFrame:
     """instrument_id of the one member with the symbol active at the date; null if none or several."""
-    m = master.select(F.col("symbol").alias("__s"), F.col("instrument_id").alias("__i"), F.col("active_from").alias("__f"), F.col("active_to").alias("__t"))
-    on = (F.col(symbol) == F.col("__s")) & (F.col("__f") <= F.col(date)) & (F.coalesce("__t", F.lit("9999-12-31").cast("date")) >= F.col(date))
-    met = rows.join(m, on, "left").groupBy(*[F.col(f"`{c}`") for c in rows.columns]).agg(F.count("__i").alias("__n"), F.min("__i").alias("__i"))
-    return met.withColumn("instrument_id", F.when(F.col("__n") == 1, F.col("__i"))).drop("__n", "__i")
+    # the master is folded to one list a symbol, so rows are neither grouped nor repeated
+    member = F.struct(F.col("instrument_id").alias("i"), F.col("active_from").alias("f"), F.coalesce("active_to", F.lit("9999-12-31").cast("date")).alias("t"))
+    members = master.groupBy(F.col("symbol").alias("__s")).agg(F.collect_list(member).alias("__members"))
+    active = F.filter("__members", lambda m: m["i"].isNotNull() & (m["f"] <= F.col(date)) & (m["t"] >= F.col(date)))
+    met = rows.join(members, F.col(symbol) == F.col("__s"), "left").withColumn("__active", active)
+    return met.select(*[F.col(f"`{c}`") for c in rows.columns if c != "instrument_id"], F.when(F.size("__active") == 1, F.get("__active", F.lit(0))["i"]).alias("instrument_id"))
 
 
 def align_universe(universe: DataFrame, calendar: DataFrame) -> DataFrame:

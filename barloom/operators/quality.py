@@ -133,13 +133,13 @@ def runs(rows: DataFrame, key: list[str], place: str, name: str = "run") -> Data
     return d.groupBy(*key, "__i").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("length")).drop("__i")
 
 
-def coverage(grid: DataFrame, key: list[str], long_run: int) -> DataFrame:
-    """Minutes (or hours) of a series' interval: traded, missing, before the first trade, runs without trades between trades."""
+def coverage(grid: DataFrame, key: list[str], long_run: int, seconds: int = 3600) -> DataFrame:
+    """Bars (of ``seconds``, with start t) of a series' interval: traded, missing, before the first trade, runs without trades between trades."""
     t = F.col("has_trade")
     w = Window.partitionBy(*key)
     first, last = F.min(F.when(t, F.col("t"))).over(w), F.max(F.when(t, F.col("t"))).over(w)
     d = grid.withColumn("__lead", ~t & (first.isNull() | (F.col("t") < first))).withColumn("__inner", ~t & (F.col("t") > first) & (F.col("t") < last))
-    holes = runs(d.filter("__inner").withColumn("__h", (F.col("t") / 3600).cast("long")), key, "__h")
+    holes = runs(d.filter("__inner").withColumn("__h", F.floor(F.col("t") / seconds)), key, "__h")
     long_ = holes.groupBy(*key).agg(F.count("*").alias("holes"), F.max("length").alias("longest_hole"), F.count_if(F.col("length") > long_run).alias("long_holes"))
     g = d.groupBy(*key).agg(F.count("*").alias("expected"), F.count_if(t).alias("traded"), F.count_if("__lead").alias("leading"), F.count_if("__inner").alias("inner_missing"))
     g = g.join(long_, key, "left").na.fill(0, ["holes", "longest_hole", "long_holes"])

@@ -192,11 +192,14 @@ def exposure_by(targets: DataFrame, at: list[str], groups: list[str]) -> DataFra
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def portfolio_limits(decisions: DataFrame, at: list[str], order: str, equity: float, max_instruments: int, max_position: float, max_gross: float, capital: float) -> DataFrame:
-    """Limits in turn: repeats, active instruments, position share, gross scale, then capital spent in order (capped).
-
-    Everything is a window over the decisions of one time; capital that is spent
-    in order and capped at what is left is a running sum cut at the capital.
+def portfolio_limits(decisions: DataFrame, at: list[str], order: str, equity: float, max_instruments: int, max_position: float, max_gross: float, capital: float, max_net: float | None = None, side: str | None = None, policy: str = "cap") -> DataFrame:
+    """Limits in turn: repeats, active instruments, position share, gross scale, net scale, then capital spent in order.
+
+    ``side`` is a column of 1 and -1 for the net limit; without it all are long.
+    Everything is a window over the decisions of one time.  Under the policy
+    "cap" a decision that does not fit takes what is left, which is a running
+    sum cut at the capital; under "reject" it gets nothing and later ones that
+    fit still do, which is a fold over the active ones (max_instruments at most).
     """
     w = Window.partitionBy(*at)
     d = decisions.withColumn("__rep", F.row_number().over(w.partitionBy(*at, "instrument_id").orderBy(order)) > 1)
@@ -205,6 +208,17 @@ def portfolio_limits(decisions: DataFrame, at: list[str], order: str, equity: fl
     reason = F.when(F.col("__rep") & (F.col("notional") > 0), "repeated_instrument").when(F.col("__k") > max_instruments, "max_active_instruments")
     d = d.withColumn("reason", reason).withColumn("__x", F.when(F.col("reason").isNull(), F.least(F.col("notional"), F.lit(equity * max_position))).otherwise(0.0))
     d = d.withColumn("__x", F.col("__x") * F.least(F.lit(1.0), F.coalesce(F.try_divide(F.lit(equity * max_gross), F.sum("__x").over(w)), F.lit(1.0))))
+    if max_net is not None:
+        net = F.abs(F.sum(F.col("__x") * (F.col(side) if side else F.lit(1.0))).over(w))
+        d = d.withColumn("__x", F.col("__x") * F.least(F.lit(1.0), F.coalesce(F.try_divide(F.lit(equity * max_net), net), F.lit(1.0))))
+    if policy == "reject":
+        active = F.sort_array(F.collect_list(F.when(F.col("__x") > 0, F.struct(F.col(order).alias("k"), F.col("__x").alias("x")))).over(w))
+        start = F.struct(F.lit(float(capital)).alias("left"), F.array().cast(f"array<{dict(d.dtypes)[order]}>").alias("taken"))
+        spend = lambda s, e: F.when(e["x"] <= s["left"], F.struct((s["left"] - e["x"]).alias("left"), F.concat(s["taken"], F.array(e["k"])).alias("taken"))).otherwise(s)
+        d = d.withColumn("__taken", F.aggregate(active, start, spend)["taken"])
+        d = d.withColumn("allocated", F.when((F.col("__x") > 0) & F.array_contains("__taken", F.col(order)), F.col("__x")).otherwise(0.0)).drop("__taken")
+        short = F.col("reason").isNull() & (F.col("allocated") < F.col("__x"))
+        return d.withColumn("reason", F.when(short, "insufficient_capital").otherwise(F.col("reason"))).drop("__rep", "__k", "__x")
     before = F.coalesce(F.sum("__x").over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     d = d.withColumn("allocated", F.least(F.col("__x"), F.greatest(capital - before, F.lit(0.0))))
     short = F.col("reason").isNull() & (F.col("allocated") < F.col("__x"))

@@ -153,8 +153,8 @@ def fixed_block_permutation(obs: DataFrame, group: list[str], order: list[str],
 
 
 def surrogate_gate(effects: DataFrame, by: list[str], observed: str = "observed", effect: str = "effect") -> DataFrame:
-    """Surrogate runs at least as strong as the observed effect, their rate, and the bound (pass + 1) / (runs + 1)."""
-    hit = F.abs(F.col(effect)) >= F.abs(F.col(observed))
+    """Surrogate runs stronger than the observed effect, their rate, and the bound (pass + 1) / (runs + 1)."""
+    hit = F.abs(F.col(effect)) > F.abs(F.col(observed))
     g = effects.groupBy(*by).agg(F.count("*").alias("runs"), F.count_if(hit).alias("passes"), F.count_if(F.col(effect).isNull()).alias("errors"))
     return g.withColumn("pass_rate", F.col("passes") / F.col("runs")).withColumn("p_bound", p_upper_bound(F.col("passes"), F.col("runs")))
 

@@ -197,9 +197,9 @@ def o7(spark, d):
     return fixed(D.coverage_rollup(_values(spark, d), ["series_id", "session_label"]))
 
 
-@query("d38_feature_label_joint_report", f"WITH {OBS}, f AS (SELECT series_id, t, fv FROM nb WHERE (t // 3600) % 4 <> 0), y AS (SELECT DISTINCT series_id, t FROM obs WHERE horizon_seconds = 10800) SELECT count(*) AS keys, count(*) FILTER (f.t IS NOT NULL AND y.t IS NOT NULL) AS overlap, count(*) FILTER (y.t IS NULL) AS features_only, count(*) FILTER (f.t IS NULL) AS labels_only, count(*) FILTER (f.t IS NOT NULL AND y.t IS NOT NULL AND (f.t // 3600) % 3 = 0) AS late_features, count(*) FILTER (f.t IS NOT NULL AND y.t IS NOT NULL AND fv IS NULL) AS missing_features FROM f FULL JOIN y ON f.series_id = y.series_id AND f.t = y.t")
+@query("d38_feature_label_joint_report", f"WITH {OBS}, f AS (SELECT series_id, t, fv FROM nb), y AS (SELECT DISTINCT series_id, t FROM obs WHERE horizon_seconds = 10800) SELECT count(*) AS keys, count(*) FILTER (f.t IS NOT NULL AND y.t IS NOT NULL) AS overlap, count(*) FILTER (y.t IS NULL) AS features_only, count(*) FILTER (f.t IS NULL) AS labels_only, count(*) FILTER (f.t IS NOT NULL AND y.t IS NOT NULL AND (f.t // 3600) % 3 = 0) AS late_features, count(*) FILTER (f.t IS NOT NULL AND y.t IS NOT NULL AND fv IS NULL) AS missing_features FROM f FULL JOIN y ON f.series_id = y.series_id AND f.t = y.t")
 def d38(spark, d):
-    f = factors(spark, d).filter("t / 3600 % 4 <> 0").withColumnRenamed("f", "value")
+    f = factors(spark, d).withColumnRenamed("f", "value")
     late = F.col("t") / 3600 % 3 == 0
     y = returns(spark, d).filter("horizon_seconds = 10800").withColumn("decision_ts", F.timestamp_seconds(F.col("t") + F.when(late, 3600).otherwise(3601)))
     return D.joint_report(f, y, ["series_id", "t"])

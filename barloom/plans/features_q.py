@@ -78,17 +78,17 @@ _bars("c12_is_quad_witch_day", X.is_quad_witch_day, "CASE WHEN isodow(td) = 5 AN
 _bars("c15_in_roll_window", X.in_roll_window, "CASE WHEN month(td) % 3 = 0 AND day(bar_start_ts) BETWEEN 4 AND 14 THEN 1 ELSE 0 END", integer=True)
 
 
-@query("c9_minutes_to_expiration", f"{G}, ex AS (SELECT series_id, event_ts AS k, date_trunc('day', event_ts) + to_days(CAST(user_id % 4 AS INT)) AS e, event_id FROM tr WHERE event_id % 97 = 0), m AS (SELECT g.series_id, g.t, arg_max(e, (k, event_id)) AS e FROM g LEFT JOIN ex ON ex.series_id = g.series_id AND k <= g.bar_start_ts + INTERVAL 3601 SECOND GROUP BY 1, 2) SELECT series_id, t, CASE WHEN epoch(e) >= t THEN CAST((epoch(e) - t) // 60 AS BIGINT) END AS value FROM m")
+@query("c9_minutes_to_expiration", f"{G}, ex AS (SELECT series_id, event_ts AS k, max(date_trunc('day', event_ts) + to_days(CAST(user_id % 4 AS INT))) AS e FROM tr GROUP BY 1, 2), m AS (SELECT g.series_id, g.t, arg_max(e, k) AS e FROM g LEFT JOIN ex ON ex.series_id = g.series_id AND k <= g.bar_start_ts + INTERVAL 3601 SECOND GROUP BY 1, 2) SELECT series_id, t, CASE WHEN epoch(e) >= t THEN CAST((epoch(e) - t) // 60 AS BIGINT) END AS value FROM m")
 def c9(spark, d):
-    t = A.trades(spark, d).filter("event_id % 97 = 0")
-    facts = t.select("series_id", F.col("event_ts").alias("known_ts"), (F.date_trunc("day", "event_ts") + F.make_dt_interval(days=(F.col("user_id") % 4).cast("int"))).alias("expiry_ts"))
+    expiry = F.date_trunc("day", "event_ts") + F.make_dt_interval(days=(F.col("user_id") % 4).cast("int"))
+    facts = A.trades(spark, d).groupBy("series_id", F.col("event_ts").alias("known_ts")).agg(F.max(expiry).alias("expiry_ts"))
     return out(X.minutes_to_expiration(_grid(spark, d), facts), "value")
 
 
-@query("c10_halt_status", f"{G}, st AS (SELECT series_id, event_ts AS k, CASE user_id % 3 WHEN 0 THEN 'HALT' ELSE 'open' END AS s, event_id FROM tr WHERE event_id % 89 = 0), m AS (SELECT g.series_id, g.t, arg_max(s, (k, event_id)) AS s FROM g LEFT JOIN st ON st.series_id = g.series_id AND k <= g.bar_start_ts + INTERVAL 3601 SECOND GROUP BY 1, 2) SELECT series_id, t, CASE WHEN s IS NULL THEN NULL WHEN s = 'HALT' THEN 1 ELSE 0 END::BIGINT AS value FROM m")
+@query("c10_halt_status", f"{G}, st AS (SELECT series_id, event_ts AS k, min(CASE user_id % 3 WHEN 0 THEN 'HALT' ELSE 'open' END) AS s FROM tr GROUP BY 1, 2), m AS (SELECT g.series_id, g.t, arg_max(s, k) AS s FROM g LEFT JOIN st ON st.series_id = g.series_id AND k <= g.bar_start_ts + INTERVAL 3601 SECOND GROUP BY 1, 2) SELECT series_id, t, CASE WHEN s IS NULL THEN NULL WHEN s = 'HALT' THEN 1 ELSE 0 END::BIGINT AS value FROM m")
 def c10(spark, d):
-    t = A.trades(spark, d).filter("event_id % 89 = 0")
-    facts = t.select("series_id", F.col("event_ts").alias("known_ts"), F.when(F.col("user_id") % 3 == 0, "HALT").otherwise("open").alias("status"))
+    status = F.when(F.col("user_id") % 3 == 0, "HALT").otherwise("open")
+    facts = A.trades(spark, d).groupBy("series_id", F.col("event_ts").alias("known_ts")).agg(F.min(status).alias("status"))
     return out(X.halt_status(_grid(spark, d), facts), "value")
 
 

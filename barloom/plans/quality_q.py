@@ -138,9 +138,9 @@ def can1(spark, d):
     return Y.canonical_bars(_raw(spark, d), 1, 60, weekday).groupBy("series_id", "status").agg(F.count("*").alias("n"))
 
 
-@query("can2_canonical_quotes", f"WITH {A.BARS}, q AS (SELECT series_id, date_trunc('hour', event_ts) AS bar_start_ts, price - 0.05 AS bid, CASE WHEN event_id % 10 = 0 THEN price - 1 ELSE price + 0.05 END AS ask, event_ts, event_id FROM tr WHERE event_id % 3 <> 0), f AS (SELECT *, row_number() OVER (PARTITION BY series_id, bar_start_ts ORDER BY event_ts) AS k FROM q) SELECT b.series_id, b.t, round(CASE WHEN f.ask >= f.bid THEN f.bid ELSE 0 END, 6) AS bid, round(CASE WHEN f.ask >= f.bid THEN f.ask ELSE 0 END, 6) AS ask, CASE WHEN f.bid IS NULL THEN 'missing_bbo' WHEN f.ask < f.bid THEN 'missing_bbo,bbo_quarantined' ELSE '' END AS quality_flags FROM bars b LEFT JOIN f ON f.series_id = b.series_id AND f.bar_start_ts = b.bar_start_ts AND k = 1")
+@query("can2_canonical_quotes", f"WITH {A.BARS}, q AS (SELECT series_id, date_trunc('hour', event_ts) AS bar_start_ts, CASE WHEN event_id % 3 > 0 THEN price - 0.05 END AS bid, CASE WHEN event_id % 10 = 0 THEN price - 1 ELSE price + 0.05 END AS ask, event_ts, event_id FROM tr), f AS (SELECT *, row_number() OVER (PARTITION BY series_id, bar_start_ts ORDER BY event_ts) AS k FROM q) SELECT b.series_id, b.t, round(CASE WHEN f.ask >= f.bid THEN f.bid ELSE 0 END, 6) AS bid, round(CASE WHEN f.ask >= f.bid THEN f.ask ELSE 0 END, 6) AS ask, CASE WHEN f.bid IS NULL THEN 'missing_bbo' WHEN f.ask < f.bid THEN 'missing_bbo,bbo_quarantined' ELSE '' END AS quality_flags FROM bars b LEFT JOIN f ON f.series_id = b.series_id AND f.bar_start_ts = b.bar_start_ts AND k = 1")
 def can2(spark, d):
-    q = A.trades(spark, d).filter("event_id % 3 <> 0").select("series_id", "event_ts", (F.col("price") - 0.05).alias("bid"), F.when(F.col("event_id") % 10 == 0, F.col("price") - 1).otherwise(F.col("price") + 0.05).alias("ask"))
+    q = A.trades(spark, d).select("series_id", "event_ts", F.when(F.col("event_id") % 3 > 0, F.col("price") - 0.05).alias("bid"), F.when(F.col("event_id") % 10 == 0, F.col("price") - 1).otherwise(F.col("price") + 0.05).alias("ask"))
     return out(Y.canonical_quotes(q, A.bars(spark, d)).withColumn("t", F.unix_timestamp("bar_start_ts")), "bid", "ask", "quality_flags")
 
 

@@ -149,13 +149,13 @@ def g11(spark, d):
     return e.select(F.col("day").cast("string").alias("day"), "level", "name", F.round("gross", 4).alias("gross"), F.round("net", 4).alias("net"))
 
 
-_PL = "pl0 AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS day, o_custkey % 40 AS instrument_id, o_totalprice AS notional FROM orders), pl1 AS (SELECT *, row_number() OVER (PARTITION BY day, instrument_id ORDER BY k) > 1 AS rep FROM pl0), pl2 AS (SELECT *, CASE WHEN NOT rep THEN sum(CASE WHEN rep THEN 0 ELSE 1 END) OVER (PARTITION BY day ORDER BY k) END AS a FROM pl1), pl3 AS (SELECT *, CASE WHEN rep THEN 'repeated_instrument' WHEN a > 6 THEN 'max_active_instruments' END AS r0, CASE WHEN rep OR a > 6 THEN 0 ELSE least(notional, 100000.0::DOUBLE) END AS x0 FROM pl2), pl4 AS (SELECT *, x0 * least(1, coalesce(400000.0::DOUBLE / nullif(sum(x0) OVER (PARTITION BY day), 0), 1)) AS x FROM pl3), pl5 AS (SELECT *, least(x, greatest(350000.0::DOUBLE - coalesce(sum(x) OVER (PARTITION BY day ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0)) AS al FROM pl4)"
+_PL = "pl0 AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS day, o_custkey % 40 AS instrument_id, o_totalprice AS notional, CASE WHEN o_custkey % 4 = 0 THEN -1 ELSE 1 END AS side FROM orders), pl1 AS (SELECT *, row_number() OVER (PARTITION BY day, instrument_id ORDER BY k) > 1 AS rep FROM pl0), pl2 AS (SELECT *, CASE WHEN NOT rep THEN sum(CASE WHEN rep THEN 0 ELSE 1 END) OVER (PARTITION BY day ORDER BY k) END AS a FROM pl1), pl3 AS (SELECT *, CASE WHEN rep THEN 'repeated_instrument' WHEN a > 6 THEN 'max_active_instruments' END AS r0, CASE WHEN rep OR a > 6 THEN 0 ELSE least(notional, 100000.0::DOUBLE) END AS x0 FROM pl2), pl4g AS (SELECT *, x0 * least(1, coalesce(400000.0::DOUBLE / nullif(sum(x0) OVER (PARTITION BY day), 0), 1)) AS xg FROM pl3), pl4 AS (SELECT *, xg * least(1, coalesce(250000.0::DOUBLE / nullif(abs(sum(xg * side) OVER (PARTITION BY day)), 0), 1)) AS x FROM pl4g), pl5 AS (SELECT *, least(x, greatest(350000.0::DOUBLE - coalesce(sum(x) OVER (PARTITION BY day ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0)) AS al FROM pl4)"
 
 
 @query("g12_portfolio_limits", f"WITH {_PL} SELECT k, round(al, 4) AS allocated, CASE WHEN r0 IS NULL AND al < x THEN 'insufficient_capital' ELSE r0 END AS reason FROM pl5")
 def g12(spark, d):
-    o = A.table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.to_date("o_orderdate").alias("day"), (F.col("o_custkey") % 40).alias("instrument_id"), F.col("o_totalprice").alias("notional"))
-    r = G.portfolio_limits(o, ["day"], "k", 1_000_000.0, 6, 0.1, 0.4, 350_000.0)
+    o = A.table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.to_date("o_orderdate").alias("day"), (F.col("o_custkey") % 40).alias("instrument_id"), F.col("o_totalprice").alias("notional"), F.when(F.col("o_custkey") % 4 == 0, -1).otherwise(1).alias("side"))
+    r = G.portfolio_limits(o, ["day"], "k", 1_000_000.0, 6, 0.1, 0.4, 350_000.0, 0.25, "side")
     return r.select("k", F.round("allocated", 4).alias("allocated"), "reason")
 
 

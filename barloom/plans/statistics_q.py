@@ -117,7 +117,7 @@ def s12(spark, d):
     return fixed(S.fixed_block_permutation(S.seeds(_one(spark, d), 7, SEEDS), ["series_id"], ["t"], 24).select("series_id", "seed", "t", "y_shuffled"))
 
 
-_EF = f"{_SH}, ef AS (SELECT series_id, seed, covar_pop(f, ys) / nullif(stddev_pop(f) * stddev_pop(ys), 0) AS effect, covar_pop(f, y) / nullif(stddev_pop(f) * stddev_pop(y), 0) AS observed FROM sh GROUP BY 1, 2), gt AS (SELECT series_id, count(*) AS runs, count(*) FILTER (abs(effect) >= abs(observed)) AS passes FROM ef GROUP BY 1)"
+_EF = f"{_SH}, ef AS (SELECT series_id, seed, covar_pop(f, ys) / nullif(stddev_pop(f) * stddev_pop(ys), 0) AS effect, covar_pop(f, y) / nullif(stddev_pop(f) * stddev_pop(y), 0) AS observed FROM sh GROUP BY 1, 2), gt AS (SELECT series_id, count(*) AS runs, count(*) FILTER (abs(effect) > abs(observed)) AS passes FROM ef GROUP BY 1)"
 
 
 def _effects(spark, d):

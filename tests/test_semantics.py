@@ -173,3 +173,59 @@ def test_halo_chunks_equal_whole_series(spark):
     whole = g.select("series_id", "t", W.rolling_mean(W.Series(), "volume", 6).value.alias("v"))
     cut = W.with_halo(g, "bar_start_ts", "chunk", 6 * 3600, 2 * 86400).select("series_id", "t", "in_halo", W.rolling_mean(W.Series(("series_id", "chunk")), "volume", 6).value.alias("v")).filter("not in_halo").drop("in_halo")
     assert whole.exceptAll(cut).count() == 0 and cut.count() == whole.count()
+
+
+def test_range_lookups_keep_equal_rows(spark):
+    from barloom.functions import sessions as S
+
+    rows = spark.sql("select explode(array(1, 1, 2)) k, 'ES' root, timestamp'2024-03-01 12:00:00' a, timestamp'2024-03-20 12:00:00' b")
+    cal = spark.sql("select 'ES' root, date'2024-03-14' roll_date union all select 'NQ', date'2024-03-14'")
+    got = S.roll_guard(rows, cal, "root", "a", "b").select("k", "rolls_crossed", "guard_action").collect()
+    assert sorted(map(tuple, got)) == [(1, 1, "drop"), (1, 1, "drop"), (2, 1, "drop")]
+    facts = spark.sql("select explode(array('X', 'X', 'Y', cast(null as string))) s, date'2024-01-05' d")
+    master = spark.sql("select 'X' symbol, 7 instrument_id, date'2024-01-01' active_from, cast(null as date) active_to")
+    got = S.resolve_symbols(facts, master, "s", "d").select("s", "instrument_id").collect()
+    assert sorted(map(tuple, got), key=str) == [("X", 7), ("X", 7), ("Y", None), (None, None)] or len(got) == 4 and sum(r.instrument_id == 7 for r in got) == 2
+
+
+def test_portfolio_net_limit_and_reject_policy(spark):
+    import random
+
+    from barloom.operators import signals as G
+
+    rng = random.Random(3)
+    data = [(f"d{k % 5}", k, k, float(rng.randint(1, 90)), rng.choice([1, -1])) for k in range(60)]
+    d = spark.createDataFrame(data, "day string, k int, instrument_id int, notional double, side int")
+    for policy in ("cap", "reject"):
+        got = {r.k: (round(r.allocated, 6), r.reason) for r in G.portfolio_limits(d, ["day"], "k", 1000.0, 8, 0.06, 0.3, 150.0, 0.1, "side", policy).collect()}
+        for day in sorted({x[0] for x in data}):
+            own = [[k, min(n, 60.0), s] for dd, k, _, n, s in data if dd == day]
+            live = own[:8]
+            gross = sum(x[1] for x in live)
+            for x in live:
+                x[1] *= min(1.0, 300.0 / gross)
+            net = abs(sum(x[1] * x[2] for x in live))
+            for x in live:
+                x[1] *= min(1.0, 100.0 / net) if net else 1.0
+            left = 150.0
+            for k, n, _ in live:
+                take = n if n <= left + 1e-9 else (left if policy == "cap" else 0.0)
+                left -= take
+                assert abs(got[k][0] - take) < 1e-4 and got[k][1] == ("insufficient_capital" if take < n - 1e-9 else None)
+            assert all(got[x[0]] == (0.0, "max_active_instruments") for x in own[8:])
+
+
+def test_coverage_of_minute_bars(spark):
+    from barloom.operators.quality import coverage
+
+    traded = {0, 1, 4, 5, 9}
+    grid = spark.createDataFrame([("s", 60 * m, m in traded) for m in range(10)], "series_id string, t long, has_trade boolean")
+    r = coverage(grid, ["series_id"], 2, 60).first()
+    assert (r.holes, r.longest_hole, r.long_holes, r.inner_missing) == (2, 3, 1, 5)
+
+
+def test_surrogates_equal_to_the_effect_do_not_count(spark):
+    from barloom.operators.statistics import surrogate_gate
+
+    d = spark.createDataFrame([("a", 0.5, 0.5), ("a", -0.6, 0.5), ("a", 0.1, 0.5)], "g string, effect double, observed double")
+    assert surrogate_gate(d, ["g"]).first().passes == 1
