@@ -192,11 +192,11 @@ def ses7(spark, d):
 
 _ROLLS = """rolls AS (SELECT root, root || substr('HMUZ', CAST(quarter(m) AS INT), 1) || strftime(m, '%y') AS from_contract, root || substr('HMUZ', CAST(quarter(m + INTERVAL 3 MONTH) AS INT), 1) || strftime(m + INTERVAL 3 MONTH, '%y') AS to_contract,
   CAST(m + to_days(CAST((12 - isodow(m)) % 7 + 14 AS INT)) AS DATE) - 8 AS roll_date
-  FROM (SELECT DISTINCT n_name AS root FROM nation), (SELECT unnest(generate_series(DATE '1992-03-01', DATE '2000-12-01', INTERVAL 3 MONTH)) AS m))"""
+  FROM (SELECT DISTINCT n_name AS root FROM nation), (SELECT unnest(generate_series(DATE '1992-03-01', DATE '2002-12-01', INTERVAL 3 MONTH)) AS m))"""
 
 
 def _rolls(spark, d):
-    return S.roll_calendar(spark, A.table(spark, d, "nation").select(F.col("n_name").alias("root")), 1992, 2000)
+    return S.roll_calendar(spark, A.table(spark, d, "nation").select(F.col("n_name").alias("root")), 1992, 2002)
 
 
 @query("rol1_roll_calendar", f"WITH {_ROLLS} SELECT root, from_contract, to_contract, CAST(roll_date AS VARCHAR) AS roll_date FROM rolls")
