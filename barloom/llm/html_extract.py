@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"']+))")
 _SPACE = re.compile(r"\s+")
 
@@ -31,7 +32,7 @@ CONTAINERS = frozenset("article aside blockquote body dd details div fieldset fi
 # parts of a page that never belong to its article
 DROPPED = frozenset("script style noscript template iframe title head nav footer aside form button select textarea input svg canvas object embed dialog menu".split())
 DROPPED_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|sidebar|side|menu|nav\w*|breadcrumbs?|footer|header|masthead|comments?|replies|reply|disqus|cookies?|consent|gdpr"
+    r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|sidebar|menu|nav\w*|breadcrumbs?|footer|header|masthead|comments?|replies|reply|disqus|cookies?|consent|gdpr"
     r"|notice|popup|modal|newsletter|subscribe|social|share|sharing|related|recommend\w*|widget|pagination|pager|login|signup|skip)(?:$|[\s_-])",
     re.I,
 )
@@ -67,7 +68,17 @@ def _dropped(tag: str, attributes: str) -> bool:
 def parse(page: str) -> Node:
     """A tree of elements and decoded texts; end tags may be missing or stray."""
     root = node = Node("html", None)
-    at, raw = 0, ""
+    opened: Counter[str] = Counter()  # open elements by name, so that an end tag without a start is told at once
+    at = 0
+
+    def leave(up: Node) -> Node:
+        """Closes the open elements up to ``up``; returns its parent."""
+        inner = node
+        while inner is not up.parent:
+            opened[inner.tag] -= 1
+            inner = inner.parent
+        return inner
+
     for m in _TOKEN.finditer(page):
         if m.start() < at:
             continue
@@ -80,35 +91,38 @@ def parse(page: str) -> Node:
                 node.parts.append(m[0][9:-3] if m[0].endswith("]]>") else m[0][9:])
             continue
         if m[1]:
-            up = node
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root:
-                node = up.parent
+            if opened[tag]:
+                up = node
+                while up.tag != tag:
+                    up = up.parent
+                node = leave(up)
             elif tag == "p":
                 node.parts.append(Node("br", node))
             continue
-        if tag in ENDS_PARAGRAPH:
+        if tag in ENDS_PARAGRAPH and opened["p"]:
             up = node
             while up is not root and up.tag != "p" and up.tag not in CONTAINERS:
                 up = up.parent
             if up.tag == "p":
-                node = up.parent
-        if tag in CLOSES:
+                node = leave(up)
+        if tag in CLOSES and any(opened[x] for x in CLOSES[tag]):
             up = node
             while up is not root and up.tag not in CLOSES[tag] and up.tag not in ("ul", "ol", "dl", "table", "select"):
                 up = up.parent
             if up.tag in CLOSES[tag]:
-                node = up.parent
+                node = leave(up)
         if tag in ("html", "body") and any(isinstance(x, Node) and x.tag == tag for x in root.parts) or tag == "html":
             continue
-        own = Node(tag, node, _dropped(tag, m[3] or ""))
+        # the header of a page goes, that of an article is part of it
+        page_header = tag == "header" and not (opened["article"] or opened["main"])
+        own = Node(tag, node, page_header or _dropped(tag, m[3] or ""))
         node.parts.append(own)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
         elif tag not in VOID and not (m[3] or "").rstrip().endswith("/"):
             node = own
+            opened[tag] += 1
     if at < len(page):
         node.parts.append(html.unescape(page[at:]))
     return root
