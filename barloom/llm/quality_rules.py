@@ -66,10 +66,13 @@ def with_covered_words(frame: DataFrame, hashes: str, out: str) -> DataFrame:
     """Adds ``out``: words in windows that occur twice or more.  Each step is a column, so none is computed per element."""
     size = F.size(hashes)
     rest = [c for c in frame.columns if c != hashes]
-    d = frame.select(*rest, hashes, F.when(F.size(F.array_distinct(hashes)) < size, F.sort_array(hashes)).alias("__s"))
-    twice = F.filter("__s", lambda x, i: (i > 0) & (x == F.get("__s", i - 1)))
-    d = d.select(*rest, hashes, F.array_distinct(twice).alias("__twice"))
-    starts = F.filter(F.sequence(F.lit(0), F.size(hashes) - 1), lambda k: F.array_contains("__twice", F.get(hashes, k)))
+    placed = F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+    d = frame.select(*rest, F.when(F.size(F.array_distinct(hashes)) < size, F.sort_array(placed)).alias("__s"))
+    # sorted by hash, a window that occurs twice stands next to an equal one
+    beside = lambda x, i: F.coalesce(x["h"] == F.get("__s", i)["h"], F.lit(False))
+    twice = F.filter("__s", lambda x, i: beside(x, i - 1) | beside(x, i + 1))
+    d = d.select(*rest, F.sort_array(F.transform(twice, lambda x: x["i"])).alias("__twice"))
+    starts = F.col("__twice")
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end"))
     total = F.aggregate(starts, zero, lambda acc, x: F.struct((acc["n"] + x + 3 - F.greatest(acc["end"], x)).alias("n"), (x + 3).alias("end")))
     return d.select(*rest, F.when(F.col("__twice").isNotNull(), total["n"]).otherwise(F.lit(0).cast("long")).alias(out))
