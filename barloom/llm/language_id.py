@@ -136,7 +136,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
 
 
 def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The ``keep`` columns (all by default) with lang_pred, score and ambiguous, of whole texts."""
+    """The ``keep`` columns (all by default) with lang_pred, score and ambiguous, of whole texts.
+
+    Former columns of these three names are replaced; an empty table gives an empty one.
+    """
     keep = docs.columns if keep is None else keep
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -147,8 +150,9 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep:
 
     # not deterministic to the planner: filters on the result must not predict again
     udf = F.pandas_udf(run, PREDICTED).asNondeterministic()
-    found = docs.select(*[F.col(f"`{c}`") for c in keep], udf(F.col(text_col)).alias("__found"))
-    return found.select(*[F.col(f"`{c}`") for c in keep], "__found.lang_pred", "__found.score", "__found.ambiguous")
+    keep = [c for c in keep if c not in ("lang_pred", "score", "ambiguous")]
+    found = docs.select(*[F.col(f"`{c}`").alias(f"__{k}") for k, c in enumerate(keep)], udf(F.col(text_col)).alias("__found"))
+    return found.select(*[F.col(f"__{k}").alias(c) for k, c in enumerate(keep)], "__found.lang_pred", "__found.score", "__found.ambiguous")
 
 
 def text_crc(column):
