@@ -612,7 +612,7 @@ def test_verified_pairs_have_the_exact_similarity(spark):
     name = {r.doc_id: r.k1 for r in table.collect()}
     at = {v: lines[k] for k, v in name.items()}
     pairs = spark.createDataFrame([(min(a, b), max(a, b)) for i, a in name.items() for j, b in name.items() if i < j], "a long, b long")
-    got = {(r.a, r.b) for r in line_dedup.verified(pairs, table, frame).collect()}
+    got = {(r.a, r.b) for r in line_dedup.verified(pairs, line_dedup.line_texts(pairs, table, frame)).collect()}
     near = lambda x, y: 5 * len(x & y) >= 4 * len(x | y)
     assert got == {(r.a, r.b) for r in pairs.collect() if near(every_shingle(at[r.a]), every_shingle(at[r.b]))}
 
