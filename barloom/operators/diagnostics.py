@@ -264,12 +264,16 @@ def pair_correlations(aligned: DataFrame, markets: list[str], by: list[str] | No
 
 
 def lead_lag(aligned: DataFrame, markets: list[str], lags: list[int], order: str = "event_ts") -> DataFrame:
-    """corr(leader k steps ago, target) for every ordered pair and lag."""
+    """corr(leader k steps ago, target) for every ordered pair and lag, and the mean seconds between the two steps."""
     w = Window.orderBy(order)
-    lagged = aligned.select("*", *[F.lag(m, k).over(w).alias(f"{m}_{k}") for m in markets for k in lags])
-    rows = F.array(*[F.struct(F.lit(a).alias("leader"), F.lit(b).alias("target"), F.lit(k).cast("long").alias("lag"), F.col(f"{a}_{k}").alias("x"), F.col(b).alias("y")) for a in markets for b in markets if a != b for k in lags])
+    since = lambda k: F.col(order).cast("double") - F.lag(F.col(order).cast("double"), k).over(w)
+    lagged = aligned.select("*", *[F.lag(m, k).over(w).alias(f"{m}_{k}") for m in markets for k in lags], *[since(k).alias(f"__since_{k}") for k in lags])
+    rows = F.array(*[
+        F.struct(F.lit(a).alias("leader"), F.lit(b).alias("target"), F.lit(k).cast("long").alias("lag"), F.col(f"__since_{k}").alias("since"), F.col(f"{a}_{k}").alias("x"), F.col(b).alias("y"))
+        for a in markets for b in markets if a != b for k in lags
+    ])
     d = lagged.select(F.explode(rows).alias("p")).select("p.*").filter("x is not null and y is not null")
-    return d.groupBy("leader", "target", "lag").agg(F.count("*").alias("n"), pearson("x", "y").alias("correlation"))
+    return d.groupBy("leader", "target", "lag").agg(F.count("*").alias("n"), F.avg("since").alias("mean_lag_seconds"), pearson("x", "y").alias("correlation"))
 
 
 def quality_report(values: DataFrame, by: list[str], value: str = "value") -> DataFrame:

@@ -155,10 +155,10 @@ def d33(spark, d):
     return fixed(D.pair_correlations(_aligned(spark, d), list(MARKETS)))
 
 
-_LL = " UNION ALL ".join(f"SELECT '{a}' AS leader, '{b}' AS target, CAST({k} AS BIGINT) AS lag, lag({x}, {k}) OVER (ORDER BY t) AS x, {y} AS y FROM al" for a, x in zip(MARKETS, "eny", strict=True) for b, y in zip(MARKETS, "eny", strict=True) if a != b for k in (1, 2))
+_LL = " UNION ALL ".join(f"SELECT '{a}' AS leader, '{b}' AS target, CAST({k} AS BIGINT) AS lag, t - lag(t, {k}) OVER (ORDER BY t) AS since, lag({x}, {k}) OVER (ORDER BY t) AS x, {y} AS y FROM al" for a, x in zip(MARKETS, "eny", strict=True) for b, y in zip(MARKETS, "eny", strict=True) if a != b for k in (1, 2))
 
 
-@query("d34_lead_lag", f"{_XM}, ll AS ({_LL}) SELECT leader, target, lag, count(*) AS n, {corr_sql('x', 'y')} AS correlation FROM ll WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1, 2, 3")
+@query("d34_lead_lag", f"{_XM}, ll AS ({_LL}) SELECT leader, target, lag, count(*) AS n, round(avg(since), 6) AS mean_lag_seconds, {corr_sql('x', 'y')} AS correlation FROM ll WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1, 2, 3")
 def d34(spark, d):
     return fixed(D.lead_lag(_aligned(spark, d), list(MARKETS), [1, 2]))
 
