@@ -45,4 +45,28 @@ SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes,
   CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> f THEN f END AS refers_to FROM g
 """
 
-ORACLE_SQL = {"op2_quality_rules": OP2, "op3_decontaminate": OP3, "op7_warc": OP7}
+OP12 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_AZ}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+  ELSE list_sort(list_distinct(list_transform(generate_series(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 3], ' ')))) END AS g FROM d),
+c AS (SELECT min(doc_id) AS r, g, len(g) AS n FROM s WHERE len(g) > 0 GROUP BY g),
+x AS (SELECT r, n, unnest(g) AS w FROM c),
+p AS (SELECT a.r AS a, b.r AS b, a.n + b.n AS total, count(*) AS shared FROM x a JOIN x b ON a.w = b.w AND a.r < b.r GROUP BY 1, 2, 3),
+l AS (SELECT a, b FROM p WHERE 100 * shared >= 85 * (total - shared)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+t AS (SELECT r AS a, r AS b FROM c UNION SELECT t.a, e.b FROM t JOIN e ON t.b = e.a),
+m AS (SELECT a, min(b) AS component_id FROM t GROUP BY 1)
+SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, coalesce(m.component_id, s.doc_id) AS component_id FROM s LEFT JOIN c ON s.g = c.g LEFT JOIN m ON m.a = c.r
+"""
+
+OP13 = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.x, b.x) AS BIGINT) AS score FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= 5
+"""
+
+ORACLE_SQL = {"op2_quality_rules": OP2, "op3_decontaminate": OP3, "op7_warc": OP7, "op12_jaccard_join": OP12, "op13_hard_negatives": OP13}

@@ -93,11 +93,31 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.llm.whitening import whitened_components
+
+    return whitened_components(table(spark, sf_dir, "embeddings"))
+
+
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.llm.hard_negatives import mine
+
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", moved.alias("label"), "embedding")
+    return mine(vectors, F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_pack, op2_quality_rules, op3_decontaminate, op4_language_id, op5_simhash,
-        op6_quality, op7_warc, op8_html_extract, op9_pii, op10_line_dedup,
+        op6_quality, op7_warc, op8_html_extract, op9_pii, op10_line_dedup, op11_whitening, op12_jaccard_join, op13_hard_negatives,
     )
 }
 
