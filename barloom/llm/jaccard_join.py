@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.common import Scratch
+from barloom.llm.common import Scratch, small_enough
 from barloom.llm.components import connected_components
 
 WIDTH = 4
@@ -44,6 +44,8 @@ THIN = 2
 SKETCH_BITS = 1024
 #: Sets of one signature that a task compares with each other, or with as many others.
 BLOCK = 512
+#: Largest table of ids that is broadcast to find the texts to verify, and what an id takes of it.
+ASKED_BYTES, ID_BYTES = 32 << 20, 16
 #: Names of sets that a task remembers, so as to sign equal texts of its share once.
 REMEMBERED = 1 << 20
 
@@ -283,8 +285,11 @@ def verified(pairs: DataFrame, docs: DataFrame, named: DataFrame, scratch: Scrat
     named: (name, least), least being the id of a row that has this set.
     """
     asked = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
-    wanted = asked.join(named, "name").select("name", F.col("least").alias("at"))
-    texts = docs.select("doc_id", "text").join(wanted.select("at").distinct(), F.col("doc_id").eqNullSafe(F.col("at")), "left_semi")
+    wanted = scratch.save(asked.join(named, "name").select("name", F.col("least").alias("at")), f"asked-{step}")
+    asked, ids = wanted.select("name"), wanted.select("at").distinct()
+    # few ids go to the texts; many ids and the texts meet by a shuffle
+    ids = F.broadcast(ids) if small_enough(ids, ID_BYTES, ASKED_BYTES) else ids
+    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("at")), "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -294,6 +299,8 @@ def verified(pairs: DataFrame, docs: DataFrame, named: DataFrame, scratch: Scrat
 
     found = texts.select("text").mapInArrow(sets, "name long, shingles binary").join(asked, "name", "left_semi").groupBy("name").agg(F.min("shingles").alias("shingles"))
     found = scratch.save(found, f"sets-{step}")
+    scratch.drop(f"asked-{step}")
+    scratch.release()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -336,10 +343,12 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     scratch.drop("shared-signatures")
 
     first = scratch.save(hub_pairs(members, percent), "hub-pairs")
+    scratch.release()
     links = scratch.save(verified(first, docs, named, scratch, "hubs", width, percent), "hub-links")
     parts = scratch.save(connected_components(links, "jaccard-hubs"), "hub-components")
     rooted = members.join(parts, members["name"] == parts["node"], "left").select("sig", "name", "n_shingles", "sketch", F.coalesce("component", "name").alias("root"))
     rest = scratch.save(block_pairs(rooted, percent, block).join(first, ["a", "b"], "left_anti"), "block-pairs")
+    scratch.release()
     more = scratch.save(verified(rest, docs, named, scratch, "blocks", width, percent), "block-links")
     final = scratch.save(connected_components(links.unionAll(more), "jaccard"), "set-components")
     scratch.drop("members", "named-sets", "hub-pairs", "hub-links", "hub-components", "block-pairs", "block-links", "sets-hubs", "sets-blocks")
