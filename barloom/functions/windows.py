@@ -6,18 +6,21 @@ too short a history is ``insufficient_window``, any gap (null) in the window
 ``input_gap``, a degenerate denominator its own reason; the value is then null.
 Expressions over one Series share its sort, so Spark plans one Window for all.
 
-A series too long for one task is cut by ``with_halo`` into chunks of time that
-each carry the rows before them that windows need.
+``over`` is the way to apply them to a frame: where a series may be too long
+for one task it is cut into blocks of rows, each with the rows around it that
+the windows reach.  ``with_halo`` cuts into chunks of time instead.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.functions import timeline as T
+
 NO_FLAGS = "array<string>"
 
 
@@ -58,6 +61,18 @@ class Series:
         return Window.partitionBy(*self.keys).orderBy(*self.order)
 
 
+def over(df: DataFrame, s: Series, build: Callable[[DataFrame, Series], DataFrame], before: int = 0, after: int = 0, one_task: bool | None = None, size: int = T.BLOCK_ROWS) -> DataFrame:
+    """build(frame, series), whose windows reach ``before`` rows back and ``after`` ahead, over series of any length.
+
+    The series' order must be full and start with a time.  Expanding windows
+    have no such reach: they need a segment that a task can hold, or the
+    running values of ``timeline``.
+    """
+    if T.fits_one_task(df) if one_task is None else one_task:
+        return build(df, s)
+    return T.in_blocks(df, s.keys, s.order, lambda d, keys: build(d, replace(s, keys=tuple(keys))), before, after, size)
+
+
 @dataclass(frozen=True)
 class Point:
     value: Column
@@ -143,19 +158,25 @@ def log_returns(s: Series, value, h: int = 1, label: str | None = None) -> Point
     return _return(s, col(value), h, lambda x, p: F.ln(x / F.nullif(p, F.lit(0.0))), True, None if label is None else F.col(label))
 
 
-def true_range(s: Series, high="high", low="low", close="close") -> Point:
-    """Range of the bar and its distance from the last close before it, gaps skipped."""
-    h, l, c = col(high), col(low), col(close)
-    prior = F.last(c, ignorenulls=True).over(s.rows(Window.unboundedPreceding, -1))
+def _wider(h: Column, l: Column, c: Column, prior: Column) -> Point:
     gap = h.isNull() | l.isNull() | c.isNull()
     wide = F.greatest(h - l, F.abs(h - prior), F.abs(l - prior))
     return Point(F.when(~gap, F.when(prior.isNull(), h - l).otherwise(wide)), flags(("input_gap", gap)))
 
 
+def true_range(df: DataFrame, s: Series, out: str = "value", high="high", low="low", close="close", one_task: bool | None = None) -> DataFrame:
+    """The frame with the range of the bar and its distance from the last close before it, gaps skipped, however far back."""
+    if T.fits_one_task(df) if one_task is None else one_task:
+        d = df.withColumn("__prior", F.last(close, ignorenulls=True).over(s.rows(Window.unboundedPreceding, -1)))
+    else:
+        d = T.last_before(df, [*s.keys, *([s.segment] if s.segment else [])], s.order, close, "__prior")
+    return d.select("*", *_wider(col(high), col(low), col(close), F.col("__prior")).named(out)).drop("__prior")
+
+
 def average_true_range(df: DataFrame, s: Series, n: int, out: str = "value", high="high", low="low", close="close") -> DataFrame:
     """The frame with the mean true range; a window over a window, so it takes the frame."""
-    ranged = df.withColumn("__tr", true_range(s, high, low, close).value)
-    return ranged.select("*", *rolling_mean(s, "__tr", n).named(out)).drop("__tr")
+    ranged = true_range(df, s, "__tr", high, low, close).drop("__tr_flags")
+    return over(ranged, s, lambda d, w: d.select("*", *rolling_mean(w, "__tr", n).named(out)), n).drop("__tr")
 
 
 def causal_zscore(s: Series, value, n: int, ddof: int = 0) -> Point:
@@ -180,10 +201,15 @@ def causal_minmax(s: Series, value, n: int) -> Point:
 def segment_id(keys: tuple[str, ...], label: str, order: tuple[str, ...]) -> tuple[Column, Callable[[DataFrame], DataFrame]]:
     """Numbers contiguous runs of a label within a series: (changed flag, the frame with segment)."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    changed = F.coalesce((F.col(label) != F.lag(label).over(w)).cast("int"), F.lit(1))
+    new = lambda w: F.coalesce((F.col(label) != F.lag(label).over(w)).cast("int"), F.lit(1))
+    changed = new(w)
 
     def add(df: DataFrame, name: str = "segment") -> DataFrame:
-        return df.withColumn("__changed", changed).withColumn(name, F.sum("__changed").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__changed")
+        if T.fits_one_task(df):
+            d = df.withColumn("__changed", changed)
+            return d.withColumn(name, F.sum("__changed").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__changed")
+        d = over(df, Series(tuple(keys), tuple(order)), lambda d, s: d.withColumn("__changed", new(s.window())), 1, one_task=False)
+        return T.running_total(d, keys, order, "__changed", name).drop("__changed")
 
     return changed, add
 

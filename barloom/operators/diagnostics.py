@@ -3,7 +3,8 @@
 Columns used: factor f, forward return y; optional mfe, mae, tbs (target before
 stop), steps, spread, liquidity, slippage, participation, regime, available_ts.
 Every diagnostic takes grouping columns, so many factors or horizons are one
-job; ranks are windows over the groups, all else is one aggregation.
+job; ranks are those of ``functions.ranks``, for groups of any size, all else is
+one aggregation.
 """
 
 from __future__ import annotations
@@ -13,6 +14,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.functions import ranks as R
+from barloom.functions import timeline as T
+
 F_, Y = "f", "y"
 
 
@@ -29,15 +33,10 @@ def pairs(x, y) -> Column:
     return F.count(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1))
 
 
-def average_rank(value: str, by: list[str]) -> Column:
-    """Rank from 1, ties at the mean of their places."""
-    w = Window.partitionBy(*by)
-    return F.rank().over(w.orderBy(value)) + (F.count("*").over(w.partitionBy(*by, value)) - 1) / 2
-
-
-def ranked(obs: DataFrame, by: list[str], x: str = F_, y: str = Y) -> DataFrame:
+def ranked(obs: DataFrame, by: list[str], x: str = F_, y: str = Y, one_task: bool | None = None) -> DataFrame:
+    """Rows that have both values, with their ranks in the group (rank_x, rank_y); groups may be of any size."""
     have = obs.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    return have.withColumn("rank_x", average_rank(x, by)).withColumn("rank_y", average_rank(y, by))
+    return R.average_rank(R.average_rank(have, by, x, "rank_x", one_task), by, y, "rank_y", one_task)
 
 
 def information_coefficients(obs: DataFrame, by: list[str], x: str = F_, y: str = Y) -> DataFrame:
@@ -64,11 +63,10 @@ def icir(ics: DataFrame, by: list[str], value: str = "pearson_ic") -> DataFrame:
     return ics.groupBy(*by).agg(F.count(value).alias("periods"), F.avg(value).alias("mean_ic"), F.when(std > 1e-12, F.avg(value) / std).alias("icir"))
 
 
-def with_bucket(obs: DataFrame, by: list[str], value: str, k: int, ties: list[str], name: str = "bucket") -> DataFrame:
+def with_bucket(obs: DataFrame, by: list[str], value: str, k: int, ties: list[str], name: str = "bucket", one_task: bool | None = None) -> DataFrame:
     """Equal-count buckets 1..k by place: min(k, floor(place * k / n) + 1), places from 0, ties by the given columns."""
-    w = Window.partitionBy(*by)
-    place = F.row_number().over(w.orderBy(value, *ties)) - 1
-    return obs.withColumn(name, F.least(F.lit(k), F.floor(place * k / F.count("*").over(w)) + 1).cast("long"))
+    d = R.placed(obs, by, [value, *ties], "__place", "__n", one_task)
+    return d.withColumn(name, F.least(F.lit(k), F.floor(F.col("__place") * k / F.col("__n")) + 1).cast("long")).drop("__place", "__n")
 
 
 def bucket_returns(obs: DataFrame, by: list[str], k: int, ties: list[str]) -> DataFrame:
@@ -263,11 +261,18 @@ def pair_correlations(aligned: DataFrame, markets: list[str], by: list[str] | No
     return r.groupBy(*keys).agg(F.count("*").alias("n"), pearson("x", "y").alias("pearson"), pearson("rank_x", "rank_y").alias("rank"), F.avg(gap).alias("mean_gap"), F.avg(F.abs(gap)).alias("mean_abs_gap"), F.min(gap).alias("min_gap"), F.max(gap).alias("max_gap"))
 
 
-def lead_lag(aligned: DataFrame, markets: list[str], lags: list[int], order: str = "event_ts") -> DataFrame:
-    """corr(leader k steps ago, target) for every ordered pair and lag, and the mean seconds between the two steps."""
-    w = Window.orderBy(order)
-    since = lambda k: F.col(order).cast("double") - F.lag(F.col(order).cast("double"), k).over(w)
-    lagged = aligned.select("*", *[F.lag(m, k).over(w).alias(f"{m}_{k}") for m in markets for k in lags], *[since(k).alias(f"__since_{k}") for k in lags])
+def lead_lag(aligned: DataFrame, markets: list[str], lags: list[int], order: str = "event_ts", size: int = T.BLOCK_ROWS, chunk_seconds: int = T.DAY) -> DataFrame:
+    """corr(leader k steps ago, target) for every ordered pair and lag, and the mean seconds between the two steps.
+
+    Steps are rows in the order of a time; they meet in blocks that carry the longest lag's rows before them.
+    """
+
+    def build(d: DataFrame, keys: list[str]) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy("__place")
+        since = lambda k: F.col(order).cast("double") - F.lag(F.col(order).cast("double"), k).over(w)
+        return d.select("*", *[F.lag(m, k).over(w).alias(f"{m}_{k}") for m in markets for k in lags], *[since(k).alias(f"__since_{k}") for k in lags])
+
+    lagged = T.in_blocks(aligned, [], [order], build, max(lags), size=size, seconds=chunk_seconds)
     rows = F.array(*[
         F.struct(F.lit(a).alias("leader"), F.lit(b).alias("target"), F.lit(k).cast("long").alias("lag"), F.col(f"__since_{k}").alias("since"), F.col(f"{a}_{k}").alias("x"), F.col(b).alias("y"))
         for a in markets for b in markets if a != b for k in lags

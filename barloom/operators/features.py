@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions import sessions
+from barloom.functions import timeline as T
 from barloom.functions import windows as W
 
 SERIES = W.Series()
@@ -30,25 +31,35 @@ def _point(df: DataFrame, p: W.Point) -> DataFrame:
     return df.select("*", *p.named())
 
 
+def _rolled(df: DataFrame, make, before: int, s: W.Series = SERIES) -> DataFrame:
+    """The frame with the point that ``make`` builds over a series whose windows reach ``before`` rows back."""
+    return W.over(df, s, lambda d, w: _point(d, make(w)), before)
+
+
 # --- trade bars
 
 
 def returns(df, horizon: int = 1, label: str | None = None):
-    return _point(df, W.simple_returns(SERIES, "close", horizon, label))
+    return _rolled(df, lambda s: W.simple_returns(s, "close", horizon, label), horizon)
 
 
 def log_returns(df, horizon: int = 1, label: str | None = None):
-    return _point(df, W.log_returns(SERIES, "close", horizon, label))
+    return _rolled(df, lambda s: W.log_returns(s, "close", horizon, label), horizon)
 
 
 def rolling_volatility(df, window: int = WINDOW, horizon: int = 1, ddof: int = 0):
-    r = df.withColumn("__r", W.simple_returns(SERIES, "close", horizon).value)
-    return _point(r, W.rolling_std(SERIES, "__r", window, ddof)).drop("__r")
+    def build(d, s):
+        return _point(d.withColumn("__r", W.simple_returns(s, "close", horizon).value), W.rolling_std(s, "__r", window, ddof)).drop("__r")
+
+    return W.over(df, SERIES, build, window + horizon)
 
 
 def rolling_range(df, window: int = WINDOW):
-    high, low = W.rolling_max(SERIES, "high", window), W.rolling_min(SERIES, "low", window)
-    return _point(df, W.Point(high.value - low.value, high.flags))
+    def make(s):
+        high, low = W.rolling_max(s, "high", window), W.rolling_min(s, "low", window)
+        return W.Point(high.value - low.value, high.flags)
+
+    return _rolled(df, make, window)
 
 
 def atr(df, window: int = WINDOW):
@@ -56,11 +67,11 @@ def atr(df, window: int = WINDOW):
 
 
 def volume_zscore(df, window: int = WINDOW):
-    return _point(df, W.causal_zscore(SERIES, "volume", window))
+    return _rolled(df, lambda s: W.causal_zscore(s, "volume", window), window)
 
 
 def rolling_volume(df, window: int = WINDOW):
-    return _point(df, W.rolling_sum(SERIES, "volume", window))
+    return _rolled(df, lambda s: W.rolling_sum(s, "volume", window), window)
 
 
 def session_minute(df):
@@ -114,10 +125,18 @@ def vwap(df, session_reset: bool = True):
 
 def anchored_vwap(df, anchor: str = "RTH"):
     """VWAP since the start of the latest segment with the anchor label."""
-    starts = (F.col("session_label") == anchor) & (F.lag("segment").over(SERIES.window()).isNull() | (F.lag("segment").over(SERIES.window()) != F.col("segment")))
-    d = df.withColumn("__start", F.coalesce(starts, F.lit(False)).cast("int"))
-    d = d.withColumn("__block", F.sum("__start").over(SERIES.expanding()))
-    return _with(d, _vwap(W.Series(segment="__block").expanding()), ("before_anchor", F.col("__block") == 0), *_traded()).drop("__start", "__block")
+
+    def build(d, s):
+        before = F.lag("segment").over(s.window())
+        starts = (F.col("session_label") == anchor) & (before.isNull() | (before != F.col("segment")))
+        return d.withColumn("__start", F.coalesce(starts, F.lit(False)).cast("int"))
+
+    d = W.over(df, SERIES, build, 1)
+    if T.fits_one_task(df):
+        d = d.withColumn("__anchor", F.sum("__start").over(SERIES.expanding()))
+    else:
+        d = T.running_total(d, SERIES.keys, SERIES.order, "__start", "__anchor")
+    return _with(d, _vwap(W.Series(segment="__anchor").expanding()), ("before_anchor", F.col("__anchor") == 0), *_traded()).drop("__start", "__anchor")
 
 
 def distance_to_vwap(df):
@@ -126,18 +145,25 @@ def distance_to_vwap(df):
 
 
 def range_position(df, window: int = WINDOW):
-    high, low = W.rolling_max(SERIES, "high", window), W.rolling_min(SERIES, "low", window)
-    flat = high.value == low.value
-    return _point(df, W.Point(F.try_divide(F.col("close") - low.value, high.value - low.value), F.when(flat, F.array(F.lit("zero_range"))).otherwise(high.flags)))
+    def make(s):
+        high, low = W.rolling_max(s, "high", window), W.rolling_min(s, "low", window)
+        flat = high.value == low.value
+        return W.Point(F.try_divide(F.col("close") - low.value, high.value - low.value), F.when(flat, F.array(F.lit("zero_range"))).otherwise(high.flags))
+
+    return _rolled(df, make, window)
 
 
 def trendiness(df, window: int = WINDOW):
     """Net move over the window by the sum of its steps."""
-    d = df.withColumn("__step", F.abs(F.col("close") - F.lag("close").over(SERIES.window())))
-    p = W.rolling_mean(SERIES, "close", window)
-    moved = F.sum("__step").over(SERIES.rows(-(window - 2), 0))
-    value = F.when(p.value.isNotNull(), F.try_divide(F.abs(F.col("close") - F.lag("close", window - 1).over(SERIES.window())), moved))
-    return _point(d, W.Point(value, F.when(p.value.isNotNull() & (moved == 0), F.array(F.lit("zero_movement"))).otherwise(p.flags))).drop("__step")
+
+    def build(df, s):
+        d = df.withColumn("__step", F.abs(F.col("close") - F.lag("close").over(s.window())))
+        p = W.rolling_mean(s, "close", window)
+        moved = F.sum("__step").over(s.rows(-(window - 2), 0))
+        value = F.when(p.value.isNotNull(), F.try_divide(F.abs(F.col("close") - F.lag("close", window - 1).over(s.window())), moved))
+        return _point(d, W.Point(value, F.when(p.value.isNotNull() & (moved == 0), F.array(F.lit("zero_movement"))).otherwise(p.flags))).drop("__step")
+
+    return W.over(df, SERIES, build, window)
 
 
 # --- sessions and calendar
@@ -215,8 +241,10 @@ def in_roll_window(df):
 
 
 def _prior(df, window: int, session: bool) -> DataFrame:
-    s = SESSION if session else SERIES
-    return df.withColumn("__high", W.prior_window(s, "high", window, F.max)).withColumn("__low", W.prior_window(s, "low", window, F.min))
+    def build(d, s):
+        return d.withColumn("__high", W.prior_window(s, "high", window, F.max)).withColumn("__low", W.prior_window(s, "low", window, F.min))
+
+    return W.over(df, SESSION if session else SERIES, build, window)
 
 
 def _gap(x) -> tuple:
@@ -256,7 +284,7 @@ def wick_rejection(df):
 
 def range_contraction(df, window: int = WINDOW, session: bool = False):
     d = df.withColumn("__r", F.col("high") - F.col("low"))
-    d = d.withColumn("__mean", W.prior_window(SESSION if session else SERIES, "__r", window, F.avg))
+    d = W.over(d, SESSION if session else SERIES, lambda d, s: d.withColumn("__mean", W.prior_window(s, "__r", window, F.avg)), window)
     return _with(d, 1 - F.try_divide(F.col("__r"), F.col("__mean")), *_gap(F.col("__mean")), ("zero_prior_range", F.col("__mean") <= 0), ("zero_range", F.col("__r") <= 0)).drop("__r", "__mean")
 
 

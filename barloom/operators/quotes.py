@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.functions import timeline as T
 from barloom.functions import windows as W
 from barloom.operators.features import _with
 
@@ -146,13 +147,13 @@ def strict_alignment(rows: DataFrame, markets: dict[str, str], value: str = "r")
     return agg.filter(reduce(lambda a, b: a & b, [F.col(f"__n{m}") > 0 for m in markets])).drop(*[f"__n{m}" for m in markets])
 
 
-def as_of_alignment(rows: DataFrame, markets: dict[str, str], value: str = "r") -> DataFrame:
+def as_of_alignment(rows: DataFrame, markets: dict[str, str], value: str = "r", chunk_seconds: int = T.DAY) -> DataFrame:
     """At each availability time the latest value of every market, those that become available at that time included.
 
-    The timeline is one window; cut it into days with a halo when markets are long.
+    The timeline is cut into chunks of time; the last value of a market before a chunk is carried into it.
     """
-    latest = [F.last(F.when(F.col("series_id") == name, F.struct(value)), ignorenulls=True).over(Window.orderBy("available_ts").rangeBetween(Window.unboundedPreceding, 0))[value].alias(m) for m, name in markets.items()]
-    return rows.filter(F.col("series_id").isin(*markets.values())).select("available_ts", *latest).distinct()
+    ours = rows.filter(F.col("series_id").isin(*markets.values()))
+    return T.as_of_all(ours, "available_ts", {m: F.col("series_id") == name for m, name in markets.items()}, value, chunk_seconds)
 
 
 def as_of_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, cols: list[str]) -> DataFrame:
@@ -181,11 +182,18 @@ def cross_features(aligned: DataFrame, base: str = "ES", others: tuple[str, str]
     })
 
 
-def rolling_pair(aligned: DataFrame, target: str, base: str, window: int, ddof: int = 1) -> DataFrame:
-    """Beta residual and correlation of two aligned markets over the last rows; none with a gap or a flat window."""
-    w = Window.orderBy("available_ts").rowsBetween(-(window - 1), 0)
-    y, x = F.col(target), F.col(base)
-    full = (F.count(F.lit(1)).over(w) == window) & (F.sum((x.isNull() | y.isNull()).cast("int")).over(w) == 0)
-    flat_x, flat_y = F.max(x).over(w) == F.min(x).over(w), F.max(y).over(w) == F.min(y).over(w)
-    cov, vx, vy = (F.covar_samp(y, x) if ddof else F.covar_pop(y, x)).over(w), (F.var_samp(x) if ddof else F.var_pop(x)).over(w), (F.var_samp(y) if ddof else F.var_pop(y)).over(w)
-    return aligned.withColumn("beta_residual", F.when(full & ~flat_x, y - F.try_divide(cov, vx) * x)).withColumn("correlation", F.when(full & ~flat_x & ~flat_y, F.try_divide(cov, F.sqrt(vx * vy))))
+def rolling_pair(aligned: DataFrame, target: str, base: str, window: int, ddof: int = 1, size: int = T.BLOCK_ROWS, chunk_seconds: int = T.DAY) -> DataFrame:
+    """Beta residual and correlation of two aligned markets over the last rows; none with a gap or a flat window.
+
+    Rows stand by (available_ts, event_ts) and meet in blocks that carry the window's rows before them.
+    """
+
+    def build(d: DataFrame, keys: list[str]) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy("__place").rowsBetween(-(window - 1), 0)
+        y, x = F.col(target), F.col(base)
+        full = (F.count(F.lit(1)).over(w) == window) & (F.sum((x.isNull() | y.isNull()).cast("int")).over(w) == 0)
+        flat_x, flat_y = F.max(x).over(w) == F.min(x).over(w), F.max(y).over(w) == F.min(y).over(w)
+        cov, vx, vy = (F.covar_samp(y, x) if ddof else F.covar_pop(y, x)).over(w), (F.var_samp(x) if ddof else F.var_pop(x)).over(w), (F.var_samp(y) if ddof else F.var_pop(y)).over(w)
+        return d.withColumn("beta_residual", F.when(full & ~flat_x, y - F.try_divide(cov, vx) * x)).withColumn("correlation", F.when(full & ~flat_x & ~flat_y, F.try_divide(cov, F.sqrt(vx * vy))))
+
+    return T.in_blocks(aligned, [], ["available_ts", "event_ts"], build, window - 1, size=size, seconds=chunk_seconds)

@@ -1,7 +1,8 @@
 """Effective samples, splits, surrogates, multiplicity, pooling and scoring.
 
-Pseudo-random orders come from md5 of a seed and the row's key, so they do not
-depend on the layout and a SQL engine can repeat them.
+Pseudo-random orders are keyed permutations of a row's place in its group, with
+keys from md5 of the seed and the group, so they do not depend on the layout
+and a SQL engine can repeat them.
 """
 
 from __future__ import annotations
@@ -9,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.functions import permutation as P
+from barloom.functions import ranks as R
+from barloom.functions import timeline as T
 from barloom.operators.diagnostics import pearson
 
 Z_MULTIPLE = 1.96
@@ -45,10 +49,9 @@ def power_report(stats: DataFrame, n: str = "n_eff", z: float = Z_MULTIPLE) -> D
 # --- splits
 
 
-def numbered(obs: DataFrame, by: list[str], order: list[str], name: str = "rn") -> DataFrame:
-    """Places from 0 in time order, and the number of rows (n) of each group."""
-    w = Window.partitionBy(*by)
-    return obs.withColumn(name, F.row_number().over(w.orderBy(*order)) - 1).withColumn("n", F.count("*").over(w))
+def numbered(obs: DataFrame, by: list[str], order: list[str], name: str = "rn", count: str | None = "n") -> DataFrame:
+    """Places from 0 in the given order, and the number of rows (n) of each group."""
+    return R.placed(obs, by, order, name, count)
 
 
 def train_validation(obs: DataFrame, by: list[str], order: list[str], fraction: float, purge: int = 0, embargo: int = 0) -> DataFrame:
@@ -91,65 +94,73 @@ def walk_forward_defaults(half_life: int) -> dict[str, int]:
 # --- surrogates
 
 
-def _draw(seed, *key) -> Column:
-    return F.md5(F.concat_ws("|", seed.cast("string"), *[F.col(k).cast("string") for k in key]))
-
-
-def seeds(obs: DataFrame, first: int, number: int) -> DataFrame:
-    spark = obs.sparkSession
-    return obs.crossJoin(F.broadcast(spark.range(first, first + number).withColumnRenamed("id", "seed")))
+def _draws(sizes: DataFrame, group: list[str], first_seed: int, seeds: int) -> DataFrame:
+    """(group, n, seed, keys) for every group of a table of sizes and every seed."""
+    each = sizes.withColumn("seed", F.explode(F.sequence(F.lit(first_seed).cast("long"), F.lit(first_seed + seeds - 1).cast("long"))))
+    return P.with_keys(each, group)
 
 
-def label_shuffle(obs: DataFrame, group: list[str], key: list[str], label: str = "y", seed: str = "seed") -> DataFrame:
-    """Labels moved within their group: in md5 order each row takes the next one's label, the last the first's.
+def label_shuffle(obs: DataFrame, group: list[str], order: list[str], first_seed: int, seeds: int, label: str = "y") -> DataFrame:
+    """Every row once for each seed, with the label of another row of its group (y_shuffled).
 
-    No row of a group of two or more keeps its place.
+    Rows are numbered once, by ``order``, which must be unique in a group; a seed moves
+    every place to another one by arithmetic.  A group of one row keeps its label.
     """
-    w = Window.partitionBy(*group, seed).orderBy(_draw(F.col(seed), *key), *key)
-    all_ = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return obs.withColumn(f"{label}_shuffled", F.when(F.row_number().over(w) == F.count("*").over(all_), F.first(label).over(all_)).otherwise(F.lead(label).over(w)))
-
+    d = numbered(obs, group, order, "__place", None)
+    labels = d.select(*group, F.col("__place").alias("__from"), F.col(label).alias(f"{label}_shuffled"))
+    draws = _draws(obs.groupBy(*group).agg(F.count("*").alias("__n")), group, first_seed, seeds)
+    rows = P.moved_places(T.attach(d, draws, group), "__place", "__n", "__from")
+    return T.attach(rows.select(*obs.columns, "seed", "__from"), labels, [*group, "__from"]).drop("__from")
+
+
+def _blocks(obs: DataFrame, group: list[str], block: str) -> DataFrame:
+    """Blocks with their length and their place among the blocks of that length (of which there are __n)."""
+    b = obs.groupBy(*group, block).agg(F.count("*").alias("length"))
+    w = Window.partitionBy(*group, "length")
+    return b.withColumn("__place", F.row_number().over(w.orderBy(block)) - 1).withColumn("__n", F.count("*").over(w))
+
+
+def _block_sources(obs: DataFrame, group: list[str], block: str, order: str, label: str, first_seed: int, seeds: int, choose) -> DataFrame:
+    """Rows for each seed with the label at their place in the block that ``choose`` takes for theirs."""
+    b, alike = _blocks(obs, group, block), [*group, "length"]
+    draws = _draws(b.select(*alike, "__n").distinct(), alike, first_seed, seeds)
+    chosen = choose(T.attach(b.drop("__n"), draws, alike), "__place", "__n", "__from")
+    source = b.select(*alike, F.col("__place").alias("__from"), F.col(block).alias("source"))
+    mapping = T.attach(chosen.select(*alike, block, "seed", "__from"), source, [*alike, "__from"]).select(*group, block, "seed", "source")
+    at = obs.withColumn("__at", F.row_number().over(Window.partitionBy(*group, block).orderBy(order)))
+    labels = at.select(*group, F.col(block).alias("source"), "__at", F.col(label).alias(f"{label}_shuffled"))
+    moved = T.attach(at, mapping, [*group, block]).withColumn("moved", ~F.col("source").eqNullSafe(F.col(block)))
+    return T.attach(moved, labels, [*group, "source", "__at"]).drop("__at")
+
+
+def block_shuffle(obs: DataFrame, group: list[str], block: str, order: str, first_seed: int, seeds: int, label: str = "y") -> DataFrame:
+    """Whole blocks (trade dates) take the labels of another block of the same length; a length met once stays (moved false)."""
+    return _block_sources(obs, group, block, order, label, first_seed, seeds, P.moved_places)
 
-def _blocks(obs: DataFrame, group: list[str], block: str, seed: str) -> DataFrame:
-    return obs.groupBy(*group, seed, block).agg(F.count("*").alias("length"))
 
+def block_bootstrap(obs: DataFrame, group: list[str], block: str, order: str, first_seed: int, seeds: int, label: str = "y") -> DataFrame:
+    """Whole blocks take the labels of a block of the same length drawn with replacement."""
+    return _block_sources(obs, group, block, order, label, first_seed, seeds, P.picked_places)
 
-def block_shuffle(obs: DataFrame, group: list[str], block: str, order: str, label: str = "y", seed: str = "seed") -> DataFrame:
-    """Whole blocks (trade dates) take the labels of another block of the same length; a length met once stays (moved false)."""
-    b = _blocks(obs, group, block, seed)
-    w = Window.partitionBy(*group, seed, "length").orderBy(_draw(F.col(seed), block), block)
-    all_ = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    source = F.when(F.row_number().over(w) == F.count("*").over(all_), F.first(block).over(all_)).otherwise(F.lead(block).over(w))
-    return _moved(obs, b.withColumn("source", source), group, block, order, label, seed)
 
+def fixed_block_permutation(obs: DataFrame, group: list[str], order: list[str], size: int, first_seed: int, seeds: int, label: str = "y") -> DataFrame:
+    """Blocks of ``size`` rows in time order, put in a drawn order whole; labels follow.
 
-def block_bootstrap(obs: DataFrame, group: list[str], block: str, order: str, label: str = "y", seed: str = "seed") -> DataFrame:
-    """Whole blocks take the labels of a block of the same length drawn with replacement."""
-    b = _blocks(obs, group, block, seed)
-    w = Window.partitionBy(*group, seed, "length")
-    # the draw's first seven hexadecimal digits pick a place among the blocks of that length
-    pick = F.conv(F.substring(_draw(F.col(seed), block), 1, 7), 16, 10).cast("long") % F.count("*").over(w)
-    b = b.withColumn("pick", pick).withColumn("place", F.row_number().over(w.orderBy(block)) - 1)
-    by = [*group, seed, "length"]
-    source = b.select(*by, F.col("place").alias("pick"), F.col(block).alias("source"))
-    return _moved(obs, b.join(source, [*by, "pick"]).select(*group, seed, block, "length", "source"), group, block, order, label, seed)
-
-
-def _moved(obs, mapping, group, block, order, label, seed):
-    w = Window.partitionBy(*group, seed, block).orderBy(order)
-    at = obs.withColumn("__at", F.row_number().over(w))
-    taken = at.select(*group, seed, F.col(block).alias("source"), "__at", F.col(label).alias(f"{label}_shuffled"))
-    d = at.join(mapping.select(*group, seed, block, "source"), [*group, seed, block])
-    return d.join(taken, [*group, seed, "source", "__at"]).withColumn("moved", F.col("source") != F.col(block)).drop("__at")
-
-
-def fixed_block_permutation(obs: DataFrame, group: list[str], order: list[str], size: int, label: str = "y", seed: str = "seed") -> DataFrame:
-    """Blocks of ``size`` rows in time order, put in md5 order whole; labels follow."""
-    w = Window.partitionBy(*group, seed)
-    d = obs.withColumn("__rn", F.row_number().over(w.orderBy(*order)) - 1).withColumn("__b", F.floor(F.col("__rn") / size))
-    d = d.withColumn("__new", F.row_number().over(w.orderBy(_draw(F.col(seed), *group, "__b"), "__b", "__rn")) - 1)
-    source = d.select(*group, seed, F.col("__new").alias("__rn"), F.col(label).alias(f"{label}_shuffled"))
-    return d.drop("__new", "__b").join(source, [*group, seed, "__rn"]).drop("__rn")
+    All blocks but the last have one length, so the block at a new place, and
+    the place in it, are found by arithmetic from where the last block went.
+    """
+    d = numbered(obs, group, order, "__place", None)
+    labels = d.select(*group, F.col("__place").alias("__from"), F.col(label).alias(f"{label}_shuffled"))
+    sizes = obs.groupBy(*group).agg(F.count("*").alias("__rows"))
+    draws = _draws(sizes.withColumn("__n", F.ceil(F.col("__rows") / size).cast("long")).withColumn("__end", F.col("__n") - 1), group, first_seed, seeds)
+    draws = P.permuted(draws, "__end", "__n", "__last").withColumn("__short", F.col("__rows") - F.col("__end") * size)
+    place, last, short = F.col("__place"), F.col("__last") * size, F.col("__short")
+    whole = lambda x: F.floor(x / size).cast("long")
+    slot = F.when(place < last, whole(place)).when(place < last + short, F.col("__last")).otherwise(1 + whole(place - short))
+    inside = F.when(place < last, place % size).when(place < last + short, place - last).otherwise((place - short) % size)
+    rows = T.attach(d, draws, group).withColumn("__slot", slot).withColumn("__inside", inside)
+    rows = P.permuted(rows, "__slot", "__n", "__block", inverse=True).withColumn("__from", F.col("__block") * size + F.col("__inside"))
+    return T.attach(rows.select(*obs.columns, "seed", "__from"), labels, [*group, "__from"]).drop("__from")
 
 
 def surrogate_gate(effects: DataFrame, by: list[str], observed: str = "observed", effect: str = "effect") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from barloom.functions import permutation as P
 from barloom.operators import diagnostics as D
 from barloom.operators import statistics as S
 from barloom.plans import adapters as A
@@ -84,12 +85,46 @@ def s8b(spark, d):
 
 
 SEEDS = 5
-_SD = f"{O1}, sd AS (SELECT o1.*, s.seed FROM o1, (SELECT unnest([7, 8, 9, 10, 11]::BIGINT[]) AS seed) s)"
-_SH = f"{_SD}, sh AS (SELECT *, coalesce(lead(y) OVER w, first(y) OVER (PARTITION BY series_id, seed ORDER BY md5(concat_ws('|', seed, series_id, t)), t)) AS ys FROM sd WINDOW w AS (PARTITION BY series_id, seed ORDER BY md5(concat_ws('|', seed, series_id, t)), t))"
+_P = P.PRIME
+
+
+def _moved_sql(key, value):
+    x = f"(({value} + k{key}) % {_P})"
+    return f"(({x} * {x} % {_P} * {x} + k{key}) % {_P})"
+
+
+def _keys_sql(group):
+    """Ten numbers from the md5 of seed and group, as columns k0 to k9."""
+    return ", ".join(f"('0x' || substr(md5(concat_ws('|', seed, {group}, '{i // 4}')), {1 + 7 * (i % 4)}, 7))::BIGINT AS k{i}" for i in range(P.KEYS))
+
+
+def _permuted_sql(source, place, n, name, inverse=False):
+    """The CTE ``source`` with the keyed permutation of a place as another column."""
+    d = f"SELECT *, CAST({place} AS BIGINT) AS x, CAST(floor(sqrt({n})) AS BIGINT) AS pa, {n} // CAST(floor(sqrt({n})) AS BIGINT) AS pb FROM {source}"
+    for i in range(P.PASSES)[:: -1 if inverse else 1]:
+        k, l, turn = 3 * i, 3 * i + 1, 3 * i + 2
+        if inverse:
+            d = f"SELECT * REPLACE (((x - k{turn}) % {n} + {n}) % {n} AS x) FROM ({d})"
+            d = f"SELECT *, ((x % pb - {_moved_sql(l, 'x // pb')}) % pb + pb) % pb AS pr FROM ({d})"
+            d = f"SELECT * EXCLUDE (pr) REPLACE (CASE WHEN x < pa * pb THEN ((x // pb - {_moved_sql(k, 'pr')}) % pa + pa) % pa * pb + pr ELSE x END AS x) FROM ({d})"
+        else:
+            d = f"SELECT *, (x // pb + {_moved_sql(k, 'x % pb')}) % pa AS pl FROM ({d})"
+            d = f"SELECT * EXCLUDE (pl) REPLACE ((CASE WHEN x < pa * pb THEN pl * pb + (x % pb + {_moved_sql(l, 'pl')}) % pb ELSE x END + k{turn}) % {n} AS x) FROM ({d})"
+    return f"SELECT * EXCLUDE (x, pa, pb), x AS {name} FROM ({d})"
+
+
+def _moved_places_sql(source, n):
+    """Where each place rn is sent, without fixed points, as column mv."""
+    q = f"(SELECT * REPLACE ((q + 1 + k9 % greatest({n} - 1, 1)) % {n} AS q) FROM ({_permuted_sql(source, 'rn', n, 'q')}))"
+    return _permuted_sql(q, "q", n, "mv", True)
+
+
+_SEEDS = f"(SELECT unnest(generate_series(7, {6 + SEEDS}))::BIGINT AS seed)"
+_SH = f"{O1}, sd AS (SELECT *, {_keys_sql('series_id')} FROM o1, {_SEEDS} s), mv AS ({_moved_places_sql('sd', 'n')}), sh AS (SELECT a.*, b.y AS ys FROM mv a JOIN o1 b ON b.series_id = a.series_id AND b.rn = a.mv)"
 
 
 def _shuffled(spark, d):
-    return S.label_shuffle(S.seeds(_one(spark, d), 7, SEEDS), ["series_id"], ["series_id", "t"])
+    return S.label_shuffle(_one(spark, d), ["series_id"], ["t"], 7, SEEDS)
 
 
 @query("s9_label_shuffle", f"WITH {_SH} SELECT series_id, seed, t, round(ys, 6) AS y_shuffled FROM sh")
@@ -97,24 +132,29 @@ def s9(spark, d):
     return fixed(_shuffled(spark, d).select("series_id", "seed", "t", F.col("y_shuffled")))
 
 
-_BL = f"{_SD}, bl AS (SELECT series_id, seed, day, count(*) AS len FROM sd GROUP BY 1, 2, 3)"
-_AT = "att AS (SELECT *, row_number() OVER (PARTITION BY series_id, seed, day ORDER BY t) AS k FROM sd)"
-_MV = "SELECT a.series_id, a.seed, a.t, round(b.y, 6) AS y_shuffled, m.src <> m.day AS moved FROM att a JOIN mp m ON m.series_id = a.series_id AND m.seed = a.seed AND m.day = a.day JOIN att b ON b.series_id = a.series_id AND b.seed = a.seed AND b.day = m.src AND b.k = a.k"
+_BL = f"{O1}, bl AS (SELECT *, row_number() OVER (PARTITION BY series_id, len ORDER BY day) - 1 AS rn, count(*) OVER (PARTITION BY series_id, len) AS n FROM (SELECT series_id, day, count(*) AS len FROM o1 GROUP BY 1, 2)), bs AS (SELECT *, {_keys_sql('series_id, len')} FROM bl, {_SEEDS} s)"
+_AT = "att AS (SELECT *, row_number() OVER (PARTITION BY series_id, day ORDER BY t) AS k FROM o1), mp AS (SELECT a.series_id, a.day, a.seed, b.day AS src FROM mv a JOIN bl b ON b.series_id = a.series_id AND b.len = a.len AND b.rn = a.mv)"
+_MV = "SELECT a.series_id, m.seed, a.t, round(b.y, 6) AS y_shuffled, m.src <> m.day AS moved FROM att a JOIN mp m ON m.series_id = a.series_id AND m.day = a.day JOIN att b ON b.series_id = a.series_id AND b.day = m.src AND b.k = a.k"
 
 
-@query("s10_block_shuffle", f"WITH {_BL}, {_AT}, mp AS (SELECT *, coalesce(lead(day) OVER w, first(day) OVER w) AS src FROM bl WINDOW w AS (PARTITION BY series_id, seed, len ORDER BY md5(concat_ws('|', seed, CAST(day AS VARCHAR))), day)) {_MV}")
+@query("s10_block_shuffle", f"WITH {_BL}, mv AS ({_moved_places_sql('bs', 'n')}), {_AT} {_MV}")
 def s10(spark, d):
-    return fixed(S.block_shuffle(S.seeds(_one(spark, d), 7, SEEDS), ["series_id"], "day", "t").select("series_id", "seed", "t", "y_shuffled", "moved"))
+    return fixed(S.block_shuffle(_one(spark, d), ["series_id"], "day", "t", 7, SEEDS).select("series_id", "seed", "t", "y_shuffled", "moved"))
 
 
-@query("s11_block_bootstrap", f"WITH {_BL}, {_AT}, pk AS (SELECT *, ('0x' || substr(md5(concat_ws('|', seed, CAST(day AS VARCHAR))), 1, 7))::BIGINT % count(*) OVER (PARTITION BY series_id, seed, len) AS pick, row_number() OVER (PARTITION BY series_id, seed, len ORDER BY day) - 1 AS place FROM bl), mp AS (SELECT a.*, b.day AS src FROM pk a JOIN pk b ON a.series_id = b.series_id AND a.seed = b.seed AND a.len = b.len AND a.pick = b.place) {_MV}")
+@query("s11_block_bootstrap", f"WITH {_BL}, mv AS (SELECT *, {_moved_sql(0, 'rn')} % n AS mv FROM bs), {_AT} {_MV}")
 def s11(spark, d):
-    return fixed(S.block_bootstrap(S.seeds(_one(spark, d), 7, SEEDS), ["series_id"], "day", "t").select("series_id", "seed", "t", "y_shuffled", "moved"))
+    return fixed(S.block_bootstrap(_one(spark, d), ["series_id"], "day", "t", 7, SEEDS).select("series_id", "seed", "t", "y_shuffled", "moved"))
+
+
+_FB = f"""{O1}, fb AS (SELECT *, {_keys_sql('series_id')} FROM (SELECT DISTINCT series_id, rn // 24 AS blk, (n + 23) // 24 AS nb, n FROM o1), {_SEEDS} s), pos AS ({_permuted_sql('fb', 'blk', 'nb', 'pos')}),
+st AS (SELECT *, coalesce(sum(least(24, n - blk * 24)) OVER (PARTITION BY series_id, seed ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM pos),
+nw AS (SELECT o1.series_id, st.seed, o1.y, st.start + o1.rn % 24 AS nn FROM o1 JOIN st ON st.series_id = o1.series_id AND st.blk = o1.rn // 24)"""
 
 
-@query("s12_fixed_block_permutation", f"WITH {_SD}, b AS (SELECT *, rn // 24 AS blk FROM sd), nw AS (SELECT *, row_number() OVER (PARTITION BY series_id, seed ORDER BY md5(concat_ws('|', seed, series_id, blk)), blk, rn) - 1 AS nn FROM b) SELECT a.series_id, a.seed, a.t, round(c.y, 6) AS y_shuffled FROM nw a JOIN nw c ON a.series_id = c.series_id AND a.seed = c.seed AND a.rn = c.nn")
+@query("s12_fixed_block_permutation", f"WITH {_FB} SELECT a.series_id, c.seed, a.t, round(c.y, 6) AS y_shuffled FROM o1 a JOIN nw c ON a.series_id = c.series_id AND a.rn = c.nn")
 def s12(spark, d):
-    return fixed(S.fixed_block_permutation(S.seeds(_one(spark, d), 7, SEEDS), ["series_id"], ["t"], 24).select("series_id", "seed", "t", "y_shuffled"))
+    return fixed(S.fixed_block_permutation(_one(spark, d), ["series_id"], ["t"], 24, 7, SEEDS).select("series_id", "seed", "t", "y_shuffled"))
 
 
 _EF = f"{_SH}, ef AS (SELECT series_id, seed, covar_pop(f, ys) / nullif(stddev_pop(f) * stddev_pop(ys), 0) AS effect, covar_pop(f, y) / nullif(stddev_pop(f) * stddev_pop(y), 0) AS observed FROM sh GROUP BY 1, 2), gt AS (SELECT series_id, count(*) AS runs, count(*) FILTER (abs(effect) > abs(observed)) AS passes FROM ef GROUP BY 1)"

@@ -20,6 +20,10 @@ def out(df, *cols):
     return df.select(*[F.round(c, 6).alias(c) if kinds[c] == "double" else F.array_join(c, ",").alias(c) if kinds[c].startswith("array<string") else F.col(c).cast("long").alias(c) if kinds[c] in ("int", "bigint") else F.col(c) for c in named])
 
 
+def _over(df, make, before, after=0):
+    return W.over(df, SERIES, lambda g, s: g.select("*", *make(s).named()), before, after)
+
+
 def _point(name, make, value_sql, reason="''", n=N):
     flag = f"CASE WHEN count(*) OVER w < {n} THEN 'insufficient_window' WHEN count(x) OVER w < count(*) OVER w THEN 'input_gap' ELSE {reason} END"
     sql = f"""WITH {A.GRID}, v AS (SELECT *, close AS x FROM grid)
@@ -28,18 +32,17 @@ FROM v WINDOW w AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN {n - 1} PRECE
 
     @query(name, sql)
     def run(spark, d):
-        g = A.grid(spark, d)
-        return out(g.select("*", *make().named()), "value", "value_flags")
+        return out(_over(A.grid(spark, d), make, n), "value", "value_flags")
 
 
-_point("win1_rolling_mean", lambda: W.rolling_mean(SERIES, "close", N), "avg(x) OVER w")
-_point("win2_rolling_std", lambda: W.rolling_std(SERIES, "close", N, 1), "stddev_samp(x) OVER w")
-_point("win4_rolling_min", lambda: W.rolling_min(SERIES, "close", N), "min(x) OVER w")
-_point("win5_rolling_max", lambda: W.rolling_max(SERIES, "close", N), "max(x) OVER w")
-_point("win6_rolling_range", lambda: W.rolling_range(SERIES, "close", N), "max(x) OVER w - min(x) OVER w")
-_point("win11_causal_zscore", lambda: W.causal_zscore(SERIES, "close", N), "(x - avg(x) OVER w) / nullif(stddev_pop(x) OVER w, 0)", "CASE WHEN max(x) OVER w = min(x) OVER w THEN 'zero_variance' ELSE '' END")
-_point("win12_causal_demean", lambda: W.causal_demean(SERIES, "close", N), "x - avg(x) OVER w")
-_point("win13_causal_minmax", lambda: W.causal_minmax(SERIES, "close", N), "(x - min(x) OVER w) / nullif(max(x) OVER w - min(x) OVER w, 0)", "CASE WHEN max(x) OVER w = min(x) OVER w THEN 'zero_range' ELSE '' END")
+_point("win1_rolling_mean", lambda s: W.rolling_mean(s, "close", N), "avg(x) OVER w")
+_point("win2_rolling_std", lambda s: W.rolling_std(s, "close", N, 1), "stddev_samp(x) OVER w")
+_point("win4_rolling_min", lambda s: W.rolling_min(s, "close", N), "min(x) OVER w")
+_point("win5_rolling_max", lambda s: W.rolling_max(s, "close", N), "max(x) OVER w")
+_point("win6_rolling_range", lambda s: W.rolling_range(s, "close", N), "max(x) OVER w - min(x) OVER w")
+_point("win11_causal_zscore", lambda s: W.causal_zscore(s, "close", N), "(x - avg(x) OVER w) / nullif(stddev_pop(x) OVER w, 0)", "CASE WHEN max(x) OVER w = min(x) OVER w THEN 'zero_variance' ELSE '' END")
+_point("win12_causal_demean", lambda s: W.causal_demean(s, "close", N), "x - avg(x) OVER w")
+_point("win13_causal_minmax", lambda s: W.causal_minmax(s, "close", N), "(x - min(x) OVER w) / nullif(max(x) OVER w - min(x) OVER w, 0)", "CASE WHEN max(x) OVER w = min(x) OVER w THEN 'zero_range' ELSE '' END")
 
 
 def _returns(name, make, expr, label):
@@ -51,11 +54,11 @@ SELECT series_id, t, CASE WHEN value_flags = '' THEN round({expr}, 6) END AS val
 
     @query(name, sql)
     def run(spark, d):
-        return out(A.grid(spark, d).select("*", *make().named()), "value", "value_flags")
+        return out(_over(A.grid(spark, d), make, 2), "value", "value_flags")
 
 
-_returns("win7_simple_returns", lambda: W.simple_returns(SERIES, "close", 2, "session_label"), "close / p - 1", True)
-_returns("win8_log_returns", lambda: W.log_returns(SERIES, "close", 2), "ln(close / p)", False)
+_returns("win7_simple_returns", lambda s: W.simple_returns(s, "close", 2, "session_label"), "close / p - 1", True)
+_returns("win8_log_returns", lambda s: W.log_returns(s, "close", 2), "ln(close / p)", False)
 
 _TR = """tr0 AS (SELECT *, last_value(close IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pc FROM grid),
 trg AS (SELECT *, CASE WHEN close IS NOT NULL THEN CASE WHEN pc IS NULL THEN high - low ELSE greatest(high - low, abs(high - pc), abs(low - pc)) END END AS x FROM tr0)"""
@@ -63,7 +66,7 @@ trg AS (SELECT *, CASE WHEN close IS NOT NULL THEN CASE WHEN pc IS NULL THEN hig
 
 @query("win9_true_range", f"WITH {A.GRID}, {_TR} SELECT series_id, t, round(x, 6) AS value, CASE WHEN x IS NULL THEN 'input_gap' ELSE '' END AS value_flags FROM trg")
 def win9(spark, d):
-    return out(A.grid(spark, d).select("*", *W.true_range(SERIES).named()), "value", "value_flags")
+    return out(W.true_range(A.grid(spark, d), SERIES), "value", "value_flags")
 
 
 def _rolled(x, n, value, source, extra=""):
@@ -82,8 +85,10 @@ _R1 = "r1 AS (SELECT *, close / lag(close) OVER (PARTITION BY series_id ORDER BY
 
 @query("win3_rolling_volatility", _rolled("r", N, "stddev_samp(r) OVER w", _R1, "r1"))
 def win3(spark, d):
-    g = A.grid(spark, d).withColumn("r", W.simple_returns(SERIES, "close").value)
-    return out(g.select("*", *W.rolling_volatility(SERIES, "r", N, 1).named()), "value")
+    def build(g, s):
+        return g.withColumn("r", W.simple_returns(s, "close").value).select("*", *W.rolling_volatility(s, "r", N, 1).named())
+
+    return out(W.over(A.grid(spark, d), SERIES, build, N + 1), "value")
 
 
 _SEG = """seg0 AS (SELECT *, CASE WHEN session_label IS DISTINCT FROM lag(session_label) OVER (PARTITION BY series_id ORDER BY t) THEN 1 ELSE 0 END AS ch FROM grid),
@@ -98,19 +103,19 @@ def win14(spark, d):
 @query("win15_centered_mean", f"""WITH {A.GRID} SELECT series_id, t, CASE WHEN count(close) OVER w = 5 THEN round(avg(close) OVER w, 6) END AS value FROM grid
 WINDOW w AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)""")
 def win15(spark, d):
-    return out(A.grid(spark, d).select("*", *W.centered_mean(SERIES, "close", 5).named()), "value")
+    return out(_over(A.grid(spark, d), lambda s: W.centered_mean(s, "close", 5), 2, 2), "value")
 
 
 @query("win16_future_mean", f"""WITH {A.GRID} SELECT series_id, t, CASE WHEN count(close) OVER w = 5 THEN round(avg(close) OVER w, 6) END AS value FROM grid
 WINDOW w AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)""")
 def win16(spark, d):
-    return out(A.grid(spark, d).select("*", *W.future_mean(SERIES, "close", 5).named()), "value")
+    return out(_over(A.grid(spark, d), lambda s: W.future_mean(s, "close", 5), 0, 5), "value")
 
 
 @query("win17_prior_window", f"""WITH {A.GRID} SELECT series_id, t, CASE WHEN count(high) OVER w = 6 THEN round(max(high) OVER w, 6) END AS value FROM grid
 WINDOW w AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)""")
 def win17(spark, d):
-    return out(A.grid(spark, d).withColumn("value", W.prior_window(SERIES, "high", 6, F.max)), "value")
+    return out(W.over(A.grid(spark, d), SERIES, lambda g, s: g.withColumn("value", W.prior_window(s, "high", 6, F.max)), 6), "value")
 
 
 @query("win18_expanding_session_state", f"""WITH {A.GRID}, {_SEG} SELECT series_id, t, round(sum(volume) OVER w, 6) AS volume_so_far, round(max(high) OVER w, 6) AS high_so_far, round(min(low) OVER w, 6) AS low_so_far FROM seg
@@ -124,7 +129,7 @@ def win18(spark, d):
 @query("win19_pit_normalize", f"""WITH {A.GRID} SELECT series_id, t, CASE WHEN close IS NOT NULL AND count(close) OVER w >= 6 THEN CASE WHEN max(close) OVER w = min(close) OVER w THEN 0 ELSE round((close - avg(close) OVER w) / stddev_pop(close) OVER w, 6) END END AS value FROM grid
 WINDOW w AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)""")
 def win19(spark, d):
-    return out(A.grid(spark, d).withColumn("value", W.pit_normalize(SERIES, "close", N, 6)), "value")
+    return out(W.over(A.grid(spark, d), SERIES, lambda g, s: g.withColumn("value", W.pit_normalize(s, "close", N, 6)), N), "value")
 
 
 # --- sessions, calendars, rolls

@@ -118,11 +118,11 @@ def test_walk_forward_equals_listing(spark, n, train, val, step, purge):
 
 def test_shuffles_move_everything_and_lose_nothing(spark):
     d = spark.createDataFrame([("g", i, i // 5, float(i)) for i in range(40)], "g string, t int, day int, y double")
-    s = X.label_shuffle(X.seeds(d, 1, 3), ["g"], ["g", "t"]).collect()
+    s = X.label_shuffle(d, ["g"], ["t"], 1, 3).collect()
     for seed in (1, 2, 3):
         own = [(r.y, r.y_shuffled) for r in s if r.seed == seed]
         assert sorted(a for a, _ in own) == sorted(b for _, b in own) and all(a != b for a, b in own)
-    b = X.block_shuffle(X.seeds(d, 1, 1), ["g"], "day", "t").collect()
+    b = X.block_shuffle(d, ["g"], "day", "t", 1, 1).collect()
     assert all(r.moved and r.y_shuffled % 5 == r.y % 5 for r in b) and sorted(r.y_shuffled for r in b) == sorted(r.y for r in b)
 
 
