@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.functions import sessions
+from barloom.functions import timeline as T
 from barloom.functions import windows as W
+from barloom.functions.passage import first_passage
 
 KEYS = ("series_id", "contract_id")
 _PATH = W.Series(KEYS, ("event_ts",))
@@ -103,30 +105,56 @@ def excursions(bars: DataFrame, n: int, long: bool = True) -> DataFrame:
     return out.withColumn("horizon_end_ts", F.when(full, F.max("event_ts").over(w))).withColumn("label_available_ts", F.when(full, F.max("available_ts").over(w)))
 
 
-def first_touch(bars: DataFrame, n: int, first: Column, second: Column, policy: str = "ambiguous") -> DataFrame:
+#: Bars ahead that a row holds itself; further ones are found by a descent through block extremes.
+HELD = 64
+
+
+def first_touch(bars: DataFrame, n: int, first: Column, second: Column, policy: str = "ambiguous", session: str | None = None, held: int = HELD) -> DataFrame:
     """Outcome of the first of the next n bars that meets a test on (high, low) against the row's levels.
 
     first and second are columns struct(high_at, low_at): a bar meets one if its
     high is at or above high_at or its low at or below low_at (null: no test).
-    Adds outcome (first, second, both, none), steps and resolution_ts; a bar that
-    meets both is resolved by policy: ambiguous, first or second.  No touch
-    without all n bars leaves the outcome null: it is not known yet.
+    Adds outcome (first, second, both, none, session_end), steps and
+    resolution_ts; a bar that meets both is resolved by policy: ambiguous, first
+    or second.  No touch without all n bars leaves the outcome null: it is not
+    known yet.  With a ``session`` column a row looks to the last bar of its
+    session; if that is nearer than n bars, no touch is session_end there.
     """
     b = bars.filter("close is not null").withColumn("__a", first).withColumn("__b", second)
-    w = _ahead(n)
-    b = b.withColumn("__next", F.collect_list(F.struct("high", "low", "event_ts", "available_ts")).over(w))
-
-    def meets(x, level):
-        return F.coalesce(x["high"] >= F.col(f"{level}.high_at"), F.lit(False)) | F.coalesce(x["low"] <= F.col(f"{level}.low_at"), F.lit(False))
-
-    hits = F.transform("__next", lambda x, i: F.struct(meets(x, "__a").alias("a"), meets(x, "__b").alias("b"), (i + 1).alias("step"), x["event_ts"].alias("ts"), x["available_ts"].alias("known")))
-    b = b.withColumn("__hit", F.get(F.filter(hits, lambda h: h["a"] | h["b"]), F.lit(0))).withColumn("__full", F.size("__next") == n).withColumn("__last", F.get("__next", F.lit(n - 1)))
+    b = _touched(b, n, session) if session is not None or n > held else _touched_ahead(b, n)
+    hit = lambda level: F.coalesce(F.col("__hit.high") >= F.col(f"{level}.high_at"), F.lit(False)) | F.coalesce(F.col("__hit.low") <= F.col(f"{level}.low_at"), F.lit(False))
     both = {"ambiguous": "both", "first": "first", "second": "second"}[policy]
-    outcome = F.when(F.col("__hit.a") & F.col("__hit.b"), both).when(F.col("__hit.a"), "first").when(F.col("__hit.b"), "second").when(F.col("__full"), "none")
-    out = b.withColumn("outcome", outcome).withColumn("steps", F.coalesce(F.col("__hit.step"), F.when(F.col("__full"), F.lit(n))).cast("long"))
-    return out.withColumn("resolution_ts", F.coalesce("__hit.ts", F.when(F.col("__full"), F.col("__last.event_ts")))).withColumn(
-        "label_available_ts", F.coalesce("__hit.known", F.when(F.col("__full"), F.col("__last.available_ts")))
-    ).drop("__a", "__b", "__next", "__hit", "__full", "__last")
+    found = F.when(hit("__a") & hit("__b"), both).when(hit("__a"), "first").otherwise("second")
+    outcome = F.when(F.col("__hit").isNotNull(), found).when(F.col("__full"), "none").when(F.col("__cut"), "session_end")
+    ends = F.col("__full") | F.col("__cut")
+    out = b.withColumn("outcome", outcome).withColumn("steps", F.coalesce(F.col("__hit.steps"), F.when(ends, F.col("__steps"))).cast("long"))
+    out = out.withColumn("resolution_ts", F.coalesce("__hit.event_ts", F.when(ends, F.col("__last.event_ts"))))
+    out = out.withColumn("label_available_ts", F.coalesce("__hit.available_ts", F.when(ends, F.col("__last.available_ts"))))
+    return out.withColumn("resolution_close", F.coalesce("__hit.close", F.when(ends, F.col("__last.close")))).drop("__a", "__b", "__hit", "__full", "__cut", "__last", "__steps")
+
+
+_SEEN = ("event_ts", "available_ts", "close")
+
+
+def _touched_ahead(b: DataFrame, n: int) -> DataFrame:
+    """The next few bars of a row in the row."""
+    b = b.withColumn("__next", F.collect_list(F.struct("high", "low", *_SEEN)).over(_ahead(n)))
+    meets = lambda x, level: F.coalesce(x["high"] >= F.col(f"{level}.high_at"), F.lit(False)) | F.coalesce(x["low"] <= F.col(f"{level}.low_at"), F.lit(False))
+    hits = F.transform("__next", lambda x, i: F.when(meets(x, "__a") | meets(x, "__b"), F.struct(x["high"].alias("high"), x["low"].alias("low"), *[x[c].alias(c) for c in _SEEN], (i + 1).cast("long").alias("steps"))))
+    b = b.withColumn("__hit", F.get(F.filter(hits, lambda h: h.isNotNull()), F.lit(0))).withColumn("__full", F.size("__next") == n)
+    return b.withColumn("__cut", F.lit(False)).withColumn("__last", F.get("__next", F.lit(n - 1))).withColumn("__steps", F.lit(n)).drop("__next")
+
+
+def _touched(b: DataFrame, n: int, session: str | None) -> DataFrame:
+    """Any number of bars ahead, or to the session's end, by first passage; the last bar looked at by an equi-join on its place."""
+    up, down = F.least("__a.high_at", "__b.high_at"), F.greatest("__a.low_at", "__b.low_at")
+    d = first_passage(b, KEYS, _PATH.order, n, up, down, _SEEN, session, "__hit")
+    last = d.select(*KEYS, F.col("place").alias("end_place"), F.struct(*_SEEN).alias("__last"))
+    d = T.attach(d, last, [*KEYS, "end_place"])
+    full, ahead = F.col("place") + n <= F.col("end_place"), F.col("end_place") > F.col("place")
+    # a session that ends on the row itself leaves nothing ahead: the row's own bar ends it
+    cut = ~full & F.lit(session is not None) & (ahead | (F.col("end_place") < F.col("last_place")))
+    return d.withColumn("__full", full).withColumn("__cut", cut).withColumn("__steps", F.col("end_place") - F.col("place")).drop("place", "end_place", "last_place")
 
 
 def level(high_at=None, low_at=None) -> Column:

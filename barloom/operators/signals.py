@@ -247,10 +247,12 @@ def leaderboard(results: DataFrame, k: int) -> DataFrame:
     return results.orderBy(F.desc("net"), F.desc("final_equity"), "costs", "config_id").limit(k)
 
 
-def first_touch_exits(entries: DataFrame, n: int, stops: list[Column], reward: float, long: bool = True) -> DataFrame:
-    """Exit of each entry: the most conservative stop, a target of reward times the risk, else after n bars.
+def first_touch_exits(entries: DataFrame, n: int, stops: list[Column], reward: float, long: bool = True, session: str | None = None) -> DataFrame:
+    """Exit of each entry: the most conservative stop, a target of reward times the risk, after n bars, or at the session's end.
 
-    A bar that meets both counts as stopped.
+    A bar that meets both counts as stopped; n bars that end with the session
+    count as n bars.  Exits by time are at the bid (a long one) or ask of the
+    bar where there is one, else at its close.
     """
     from barloom.operators import labels as L
 
@@ -258,9 +260,17 @@ def first_touch_exits(entries: DataFrame, n: int, stops: list[Column], reward: f
     stop = stops[0] if len(stops) == 1 else F.greatest(*stops) if long else F.least(*stops)
     e = entries.withColumn("stop_price", stop).withColumn("target_price", c + (c - F.col("stop_price")) * reward)
     s, t = (L.level(low_at=F.col("stop_price")), L.level(high_at=F.col("target_price"))) if long else (L.level(high_at=F.col("stop_price")), L.level(low_at=F.col("target_price")))
-    d = L.first_touch(e, n, s, t, "first")
+    side = "bid" if long else "ask"
+    quoted = side in entries.columns
+    if quoted:  # the price to leave at stands in for the close while paths are looked at
+        e = e.withColumn("__close", c).withColumn("close", F.coalesce(side, "close"))
+    d = L.first_touch(e, n, s, t, "first", session)
+    if quoted:
+        d = d.withColumn("close", F.col("__close")).drop("__close")
     o = F.col("outcome")
-    return d.withColumn("exit", F.when(o == "first", "stop").when(o == "second", "target").when(o == "none", "time")).withColumn("exit_price", F.when(o == "first", F.col("stop_price")).when(o == "second", F.col("target_price")))
+    named = F.when(o == "first", "stop").when(o == "second", "target").when(o == "none", "time").when(o == "session_end", "session_end")
+    price = F.when(o == "first", F.col("stop_price")).when(o == "second", F.col("target_price")).when(o.isNotNull(), F.col("resolution_close"))
+    return d.withColumn("exit", named).withColumn("exit_price", price).drop("resolution_close")
 
 
 def apply_user_factor(bars: DataFrame, compute: Callable, inputs: list[str], key: list[str], order: str, warm_up: int, out: str = "value") -> DataFrame:

@@ -177,14 +177,21 @@ def g14(spark, d):
     return fixed(G.leaderboard(r, 8))
 
 
-_EN = f"""{A.BARS}, nb AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY t) AS k, count(*) OVER (PARTITION BY series_id) AS total, greatest(close * 0.95::DOUBLE, close - 1.0::DOUBLE * (high - low + 1)) AS sp FROM bars), en AS (SELECT *, close + (close - sp) * 1.5::DOUBLE AS tp FROM nb),
-hit AS (SELECT e.series_id, e.t, min(f.k) AS hk FROM en e JOIN nb f ON f.series_id = e.series_id AND f.k > e.k AND f.k <= e.k + 5 AND (f.low <= e.sp OR f.high >= e.tp) GROUP BY 1, 2)"""
+_EN = f"""{A.BARS}, nb AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY t) AS k, count(*) OVER (PARTITION BY series_id) AS total, CAST(bar_start_ts AS DATE) AS day,
+  greatest(close * 0.95::DOUBLE, close - 1.0::DOUBLE * (high - low + 1)) AS sp FROM bars), en AS (SELECT *, close + (close - sp) * 1.5::DOUBLE AS tp, max(k) OVER (PARTITION BY series_id, day) AS ends FROM nb),
+hit AS (SELECT e.series_id, e.t, min(f.k) AS hk FROM en e JOIN nb f ON f.series_id = e.series_id AND f.k > e.k AND f.k <= least(e.k + 5, e.ends) AND (f.low <= e.sp OR f.high >= e.tp) GROUP BY 1, 2),
+xt AS (SELECT e.*, f.k AS hk, f.low AS flow, least(e.k + 5, e.ends) AS lk FROM en e LEFT JOIN hit h USING (series_id, t) LEFT JOIN nb f ON f.series_id = e.series_id AND f.k = h.hk)"""
 
 
-@query("g16_first_touch_exits", f"WITH {_EN} SELECT e.series_id, e.t, CASE WHEN f.k IS NULL THEN CASE WHEN e.k + 5 <= e.total THEN 'time' END WHEN f.low <= e.sp THEN 'stop' ELSE 'target' END AS exit, round(CASE WHEN f.k IS NOT NULL THEN CASE WHEN f.low <= e.sp THEN e.sp ELSE e.tp END END, 6) AS exit_price FROM en e LEFT JOIN hit h USING (series_id, t) LEFT JOIN nb f ON f.series_id = e.series_id AND f.k = h.hk")
+@query("g16_first_touch_exits", f"""WITH {_EN}
+SELECT x.series_id, x.t, CASE WHEN x.hk IS NOT NULL THEN CASE WHEN x.flow <= x.sp THEN 'stop' ELSE 'target' END WHEN x.k + 5 <= x.ends THEN 'time' WHEN x.lk > x.k OR x.lk < x.total THEN 'session_end' END AS exit,
+  round(CASE WHEN x.hk IS NOT NULL THEN CASE WHEN x.flow <= x.sp THEN x.sp ELSE x.tp END WHEN x.lk > x.k OR x.lk < x.total THEN l.close END, 6) AS exit_price
+FROM xt x JOIN nb l ON l.series_id = x.series_id AND l.k = x.lk""")
 def g16(spark, d):
+    """Long entries of every bar with two stops, a target, five bars to hold and an exit at the end of the UTC day."""
     c = F.col("close")
-    r = G.first_touch_exits(A.bars(spark, d), 5, [c * 0.95, c - 1.0 * (F.col("high") - F.col("low") + 1)], 1.5)
+    b = A.bars(spark, d).withColumn("day", F.to_date("bar_start_ts"))
+    r = G.first_touch_exits(b, 5, [c * 0.95, c - 1.0 * (F.col("high") - F.col("low") + 1)], 1.5, session="day")
     return out(r, "exit", "exit_price")
 
 
