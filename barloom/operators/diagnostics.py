@@ -215,6 +215,36 @@ def label_report(labels: DataFrame, by: list[str], value: str = Y) -> DataFrame:
     )
 
 
+def horizon_coverage(labels: DataFrame, by: list[str], horizon: str = "horizon_seconds") -> DataFrame:
+    """Horizons of each group's labels: their number, samples, labels without one, and the least by the most samples."""
+    per = labels.groupBy(*by, horizon).agg(F.count("*").alias("__n"))
+    some = F.col(horizon).isNotNull()
+    n = F.when(some, F.col("__n"))
+    return per.groupBy(*by).agg(
+        F.count(horizon).alias("horizons"), F.coalesce(F.sum(n), F.lit(0)).alias("horizon_samples"), F.coalesce(F.sum(F.when(~some, F.col("__n"))), F.lit(0)).alias("missing_horizon"),
+        F.min(horizon).alias("min_horizon"), F.max(horizon).alias("max_horizon"), F.min(n).alias("min_samples"), F.max(n).alias("max_samples"), F.try_divide(F.min(n), F.max(n)).alias("coverage_ratio"),
+    )
+
+
+def horizon_overlap(labels: DataFrame, by: list[str], start: str, end: str, one_task: bool | None = None) -> DataFrame:
+    """Least and most labels whose span [start, end) holds a time, over the times from the first start to the last end.
+
+    Starts and ends are summed by time and then in order, so no label meets
+    another; a group longer than a task is summed in chunks of time.
+    """
+    spans = labels.filter(F.col(start) < F.col(end))
+    turns = F.explode(F.array(F.struct(F.col(start).alias("at"), F.lit(1).alias("d")), F.struct(F.col(end).alias("at"), F.lit(-1).alias("d"))))
+    steps = spans.select(*by, turns.alias("x")).groupBy(*by, F.col("x.at").alias("at")).agg(F.sum("x.d").alias("d"))
+    if T.fits_one_task(labels) if one_task is None else one_task:
+        open_ = steps.withColumn("open", F.sum("d").over(Window.partitionBy(*by).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        open_ = T.running_total(steps, by, ["at"], "d", "open")
+    last = open_.groupBy(*by).agg(F.max_by("open", "at").alias("__end"), F.max("at").alias("__at"))
+    # after the last end nothing is open any more, so that step is no time between
+    inside = T.attach(open_, last, by).filter(F.col("at") < F.col("__at"))
+    return inside.groupBy(*by).agg(F.min("open").alias("min_overlap"), F.max("open").alias("max_overlap"))
+
+
 def split_report(obs: DataFrame, by: list[str], bucket: Column, minimum: int) -> DataFrame:
     """For each bucket, the effect of keeping only its rows, from one aggregation and the groups' totals."""
     d = obs.withColumn("bucket", F.coalesce(bucket.cast("string"), F.lit("unknown")))

@@ -45,17 +45,66 @@ def canonical_bars(raw: DataFrame, latency_seconds: int, bar_minutes: int, in_se
     return d.withColumn("status", status)
 
 
-def canonical_quotes(quotes: DataFrame, bars: DataFrame, key: str = "series_id", minutes: int = 60) -> DataFrame:
-    """A quote row for every bar: the first of the bar's time span, crossed ones quarantined, a flagged placeholder if none."""
-    span = F.lit(60 * minutes)
-    q = quotes.withColumn("bar_start_ts", F.timestamp_seconds(F.floor(F.unix_timestamp("event_ts") / span) * span))
-    crossed = F.col("ask") < F.col("bid")
-    q = keep_first(q.withColumn("crossed", crossed), [key, "bar_start_ts"], ["event_ts"])
-    j = bars.select(key, "bar_start_ts").join(q.select(key, "bar_start_ts", "bid", "ask", "crossed"), [key, "bar_start_ts"], "left")
-    usable = F.col("bid").isNotNull() & ~F.coalesce("crossed", F.lit(False))
-    flags = F.array_compact(F.array(F.when(~usable, F.lit("missing_bbo")), F.when(F.coalesce("crossed", F.lit(False)), F.lit("bbo_quarantined"))))
-    zero = lambda c: F.when(usable, F.col(c)).otherwise(0.0)
-    return j.select(key, "bar_start_ts", zero("bid").alias("bid"), zero("ask").alias("ask"), flags.alias("quality_flags"))
+def _hosts(bars: DataFrame, key: str, seconds: int) -> DataFrame:
+    """The bar that takes the quotes of a span of time: the span's own bar (rank 1), else the bar before it (rank 2)."""
+    step = F.make_dt_interval(secs=F.lit(seconds))
+    spans = F.explode(F.array(F.struct(F.col("bar_start_ts").alias("span"), F.lit(1).alias("rank")), F.struct((F.col("bar_start_ts") + step).alias("span"), F.lit(2).alias("rank"))))
+    d = bars.select(F.col(key).alias("__key"), "bar_start_ts", spans.alias("x"))
+    return d.groupBy("__key", F.col("x.span").alias("__span")).agg(F.min(F.struct("x.rank", "bar_start_ts")).alias("__host"))
+
+
+def placed_quotes(quotes: DataFrame, bars: DataFrame, key: str, seconds: int, arrival: list[str]) -> DataFrame:
+    """The first quote to arrive for each bar start, with the number that did (copies) and the reason to quarantine it.
+
+    A quote's bar is the one of its explicit bar_start_ts, where it has one;
+    else the bar of its span of time; else the bar before, where that exists.
+    Reasons: no_bar, missing_value, crossed, outside_bar (its time is not within
+    the bar, ends included).
+    """
+    q = quotes if "bar_start_ts" in quotes.columns else quotes.withColumn("bar_start_ts", F.lit(None).cast("timestamp"))
+    span = F.timestamp_micros(F.floor(F.unix_micros("event_ts") / (seconds * 1_000_000)) * seconds * 1_000_000)
+    q = q.withColumn("__explicit", F.col("bar_start_ts")).withColumn("__span", F.coalesce("bar_start_ts", span)).drop("bar_start_ts")
+    hosts = _hosts(bars, key, seconds).withColumnRenamed("__span", "__host_span")
+    d = q.join(hosts, (F.col(key) == F.col("__key")) & (F.col("__span") == F.col("__host_span")), "left")
+    taken = F.col("__host").isNotNull() & (F.col("__explicit").isNull() | (F.col("__host.rank") == 1))
+    d = d.withColumn("bar_start_ts", F.when(taken, F.col("__host.bar_start_ts")).otherwise(F.col("__span"))).withColumn("__taken", taken)
+    values = ("event_ts", "bid", "ask", "bid_size", "ask_size")
+    first = F.min_by(F.struct(*values, "__taken"), F.struct(*arrival))
+    g = d.groupBy(key, "bar_start_ts").agg(first.alias("__q"), F.count("*").alias("copies")).select(key, "bar_start_ts", "copies", *[F.col(f"__q.{c}").alias(c) for c in values], F.col("__q.__taken").alias("__taken"))
+    missing = F.lit(False)
+    for c in values[1:]:
+        missing = missing | F.col(c).isNull() | F.isnan(F.col(c).cast("double"))
+    end = F.col("bar_start_ts") + F.make_dt_interval(secs=F.lit(seconds))
+    outside = ~F.col("event_ts").between(F.col("bar_start_ts"), end)
+    reason = F.when(~F.col("__taken"), "no_bar").when(missing, "missing_value").when(F.col("ask") < F.col("bid"), "crossed").when(outside, "outside_bar")
+    return g.withColumn("reason", reason).drop("__taken")
+
+
+def canonical_quotes(quotes: DataFrame, bars: DataFrame, key: str = "series_id", seconds: int = 60, latency_seconds: int = 1, arrival: list[str] | None = None) -> DataFrame:
+    """A quote row for every bar: the first placed in it, or a flagged placeholder of zeros.
+
+    bars: (key, bar_start_ts), each once.  Flags are missing_bbo for a bar
+    without a usable quote, and bbo_quarantined if it had one that was not.
+    """
+    q = placed_quotes(quotes, bars, key, seconds, arrival or ["event_ts"]).filter("reason is null or reason <> 'no_bar'")
+    j = bars.select(key, "bar_start_ts").join(q, [key, "bar_start_ts"], "left")
+    usable = F.col("copies").isNotNull() & F.col("reason").isNull()
+    end = F.col("bar_start_ts") + F.make_dt_interval(secs=F.lit(seconds))
+    flags = F.array_compact(F.array(F.when(~usable, F.lit("missing_bbo")), F.when(F.col("reason").isNotNull(), F.lit("bbo_quarantined"))))
+    held = lambda x: F.when(usable, x).otherwise(0.0)
+    return j.select(
+        key, "bar_start_ts", end.alias("bar_end_ts"), F.when(usable, F.col("event_ts")).otherwise(end).alias("event_ts"), (end + F.make_dt_interval(secs=F.lit(latency_seconds))).alias("available_ts"),
+        *[held(F.col(c)).alias(c) for c in ("bid", "ask", "bid_size", "ask_size")], held((F.col("bid") + F.col("ask")) / 2).alias("mid"), held(F.col("ask") - F.col("bid")).alias("spread"), flags.alias("quality_flags"),
+    )
+
+
+def quote_counts(quotes: DataFrame, bars: DataFrame, key: str = "series_id", seconds: int = 60, arrival: list[str] | None = None) -> DataFrame:
+    """Per key: quotes that repeat a bar start, quotes quarantined by reason, and bars without a usable quote."""
+    q = placed_quotes(quotes, bars, key, seconds, arrival or ["event_ts"])
+    g = q.groupBy(key).agg(F.sum(F.col("copies") - 1).alias("duplicates"), *[F.count_if(F.col("reason") == r).alias(r) for r in ("no_bar", "missing_value", "crossed", "outside_bar")], F.count_if(F.col("reason").isNull()).alias("__used"))
+    per = bars.groupBy(key).agg(F.count("*").alias("__bars"))
+    d = per.join(g, key, "full_outer").na.fill(0)
+    return d.withColumn("missing", F.col("__bars") - F.col("__used")).drop("__bars", "__used")
 
 
 def canonical_trades(raw: DataFrame, key: list[str]) -> DataFrame:
@@ -133,17 +182,66 @@ def runs(rows: DataFrame, key: list[str], place: str, name: str = "run") -> Data
     return d.groupBy(*key, "__i").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("length")).drop("__i")
 
 
-def coverage(grid: DataFrame, key: list[str], long_run: int, seconds: int = 3600) -> DataFrame:
-    """Bars (of ``seconds``, with start t) of a series' interval: traded, missing, before the first trade, runs without trades between trades."""
-    t = F.col("has_trade")
-    w = Window.partitionBy(*key)
-    first, last = F.min(F.when(t, F.col("t"))).over(w), F.max(F.when(t, F.col("t"))).over(w)
-    d = grid.withColumn("__lead", ~t & (first.isNull() | (F.col("t") < first))).withColumn("__inner", ~t & (F.col("t") > first) & (F.col("t") < last))
-    holes = runs(d.filter("__inner").withColumn("__h", F.floor(F.col("t") / seconds)), key, "__h")
-    long_ = holes.groupBy(*key).agg(F.count("*").alias("holes"), F.max("length").alias("longest_hole"), F.count_if(F.col("length") > long_run).alias("long_holes"))
-    g = d.groupBy(*key).agg(F.count("*").alias("expected"), F.count_if(t).alias("traded"), F.count_if("__lead").alias("leading"), F.count_if("__inner").alias("inner_missing"))
-    g = g.join(long_, key, "left").na.fill(0, ["holes", "longest_hole", "long_holes"])
-    return g.withColumn("no_trade_ratio", 1 - F.col("traded") / F.col("expected"))
+def interval_coverage(intervals: DataFrame, rows: DataFrame, key: list[str], session: list[str], long_run: int, seconds: int = 60, dense: bool = False) -> DataFrame:
+    """Each expected interval with what its rows cover, in bars of ``seconds``, by differences of times: no grid is listed.
+
+    intervals: (key, session, start_t, end_t) in seconds; a session may have
+    several.  rows: (key, session, t) and, for a dense grid, has_trade and
+    synthetic; all sparse rows are trades.  A session without any trade expects
+    nothing (non_trading).  Before its first trade an interval is unfilled; a
+    run without rows between two trades is no_trade, and long if it has more
+    than ``long_run`` bars; other runs after the first trade are no_trade in a
+    sparse table and gap in a dense grid.
+    """
+    by = [*key, *session]
+    trade = F.bool_or("has_trade") if dense else F.lit(True)
+    filled = F.bool_or("synthetic") if dense else F.lit(False)
+    r = rows.groupBy(*by, "t").agg(trade.alias("__trade"), filled.alias("__filled"))
+    iv = intervals.select(*by, "start_t", "end_t").withColumn("expected", F.ceil((F.col("end_t") - F.col("start_t")) / seconds).cast("long"))
+    x = r.select(*[F.col(c).alias(f"__r_{c}") for c in by], F.col("t"), "__trade", "__filled")
+    on = (F.col("t") >= F.col("start_t")) & (F.col("t") < F.col("end_t")) & ((F.col("t") - F.col("start_t")) % seconds == 0)
+    for c in by:
+        on = on & (F.col(c) == F.col(f"__r_{c}"))
+    j = iv.join(x, on, "left").drop(*[f"__r_{c}" for c in by])
+    of_session = Window.partitionBy(*by)
+    of_interval = Window.partitionBy(*by, "start_t")
+    traded = F.when(F.col("__trade"), F.col("t"))
+    j = j.withColumn("__session_first", F.min(traded).over(of_session)).withColumn("__first", F.min(traded).over(of_interval)).withColumn("__last", F.max(traded).over(of_interval))
+    w = of_interval.orderBy("t")
+    j = j.withColumn("__prev", F.lag("t").over(w)).withColumn("__next", F.lead("t").over(w)).withColumn("__open", F.coalesce("__first", "__session_first"))
+
+    def run(start, end) -> tuple[Column, Column, Column]:
+        """Bars of a run without rows that count as no trade, as a long run between trades, and as a gap."""
+        n = ((end - start) / seconds).cast("long")
+        counts = F.col("t").isNotNull() & (n > 0) & (end > F.col("__open"))
+        between = F.coalesce((F.col("__first") < start) & (F.col("__last") >= end), F.lit(False))
+        long_ = counts & between & (n > long_run)
+        gap = counts & ~long_ if dense else F.lit(False)
+        return F.when(counts & ~gap, n).otherwise(0), F.when(long_, n).otherwise(0), F.when(gap, n).otherwise(0)
+
+    before = run(F.coalesce(F.col("__prev") + seconds, F.col("start_t")), F.col("t"))
+    behind = run(F.col("t") + seconds, F.when(F.col("__next").isNull(), F.col("start_t") + F.col("expected") * seconds).otherwise(F.col("t") + seconds))
+    total = lambda k: F.sum(before[k] + behind[k]).cast("long")
+    g = j.groupBy(*by, "start_t", "end_t", "expected", "__session_first", "__open").agg(
+        F.count("t").alias("observed"), F.count_if("__trade").alias("traded"), F.count_if("__filled").alias("synthetic"), total(0).alias("__runs"), total(1).alias("long_run_bars"), total(2).alias("gap"),
+        F.count_if(before[1] > 0).alias("__long_before"), F.count_if(behind[1] > 0).alias("__long_behind"),
+    )
+    absent = F.col("__session_first").isNull()
+    lead = F.when(F.col("observed") == 0, F.col("expected")).otherwise(F.greatest(F.ceil((F.col("__open") - F.col("start_t")) / seconds).cast("long"), F.lit(0).cast("long")))
+    kept = lambda c: F.when(absent, F.lit(0).cast("long")).otherwise(c)
+    return g.select(
+        *by, "start_t", "end_t", absent.alias("non_trading"), F.when(absent, F.col("expected")).otherwise(0).cast("long").alias("non_trading_bars"), kept(F.col("expected")).alias("expected"),
+        *[kept(F.col(c)).alias(c) for c in ("observed", "traded", "synthetic")], kept(lead).alias("unfilled"), kept(F.col("__runs") + F.col("synthetic")).alias("no_trade"),
+        kept(F.col("__long_before") + F.col("__long_behind")).alias("long_runs"), kept(F.col("long_run_bars")).alias("long_run_bars"), kept(F.col("gap")).alias("gap"),
+    )
+
+
+def coverage(intervals: DataFrame, rows: DataFrame, key: list[str], session: list[str], long_run: int, seconds: int = 60, dense: bool = False) -> DataFrame:
+    """Per key the sums of interval_coverage, the sessions' intervals without any trade, and no-trade bars by expected ones."""
+    d = interval_coverage(intervals, rows, key, session, long_run, seconds, dense)
+    sums = ("expected", "observed", "traded", "synthetic", "unfilled", "no_trade", "long_runs", "long_run_bars", "gap", "non_trading_bars")
+    g = d.groupBy(*key).agg(*[F.sum(c).alias(c) for c in sums], F.count_if("non_trading").alias("non_trading_intervals"))
+    return g.withColumn("no_trade_ratio", F.coalesce(F.try_divide("no_trade", "expected"), F.lit(0.0)))
 
 
 def non_trading_sessions(grid: DataFrame, key: str, session: str) -> DataFrame:

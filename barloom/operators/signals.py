@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.operators.diagnostics import period_key
+
 # fixed values: stress factors of the cost profiles and penalties of the sessions
 STRESS_FACTORS = (1.0, 1.25, 1.5, 2.0)
 SESSION_PENALTIES = {"RTH": 1.0, "ETH": 1.5, "ILLIQUID": 2.0}
@@ -64,6 +66,55 @@ def position_summary(positions: DataFrame, by: list[str], order: str) -> DataFra
     )
 
 
+def path_states(rows: DataFrame, by: list[str], period: Column, order: str, value: str, name: str = "period") -> DataFrame:
+    """State of a running sum in each period: total, peak and trough (both at least, at most the start's 0), and deepest fall from a peak.
+
+    States of neighbouring periods combine to that of both, so any coarser grain needs no rows.
+    """
+    d = rows.withColumn(name, period)
+    w = Window.partitionBy(*by, name).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("__run", F.sum(value).over(w))
+    d = d.withColumn("__fall", F.greatest(F.max("__run").over(w), F.lit(0.0)) - F.col("__run"))
+    return d.groupBy(*by, name).agg(
+        F.sum(value).alias("total"), F.greatest(F.max("__run"), F.lit(0.0)).alias("peak"), F.least(F.min("__run"), F.lit(0.0)).alias("trough"), F.max("__fall").alias("fall"),
+        F.count("*").alias("bars"), F.count_if(F.col("delta") != 0).alias("trades"), F.sum(F.abs("delta")).cast("long").alias("turnover"),
+    )
+
+
+def merged_states(states: DataFrame, by: list[str], period: str = "period") -> DataFrame:
+    """One state for each group of period states: a fold over its periods in order."""
+    kept = F.sort_array(F.collect_list(F.struct(F.col(period), "total", "peak", "trough", "fall")))
+    start = F.struct(*[F.lit(0.0).alias(c) for c in ("total", "peak", "trough", "fall")])
+
+    def merge(s, x):
+        return F.struct(
+            (s["total"] + x["total"]).alias("total"), F.greatest(s["peak"], s["total"] + x["peak"]).alias("peak"), F.least(s["trough"], s["total"] + x["trough"]).alias("trough"),
+            F.greatest(s["fall"], x["fall"], s["peak"] - s["total"] - x["trough"]).alias("fall"),
+        )
+
+    g = states.groupBy(*by).agg(F.aggregate(kept, start, merge).alias("__s"), F.sum("bars").alias("bars"), F.sum("trades").alias("trades"), F.sum("turnover").alias("turnover"))
+    return g.select(*by, "__s.*", "bars", "trades", "turnover")
+
+
+def period_results(positions: DataFrame, by: list[str], ts: str, order: str, periods: tuple[str, ...] = ("month",), start_equity: float = 1.0, cost: float = 0.0) -> DataFrame:
+    """Result of each configuration by period (day, week, month) and over all (grain total), from one pass over the rows.
+
+    Days' states are taken once and combined to every grain.  net is the gross
+    result less ``cost`` for each unit of turnover, final_equity the equity at
+    the period's end, drawdown the deepest fall of the gross running sum inside
+    the period.
+    """
+    days = path_states(positions, by, F.to_date(ts), order, "gross", "day")
+    found = None
+    for grain in (*periods, "total"):
+        key = F.lit("") if grain == "total" else period_key(F.col("day"), grain)
+        d = merged_states(days.withColumn("period", key), [*by, "period"], "day").withColumn("grain", F.lit(grain))
+        found = d if found is None else found.unionByName(d)
+    w = Window.partitionBy(*by, "grain").orderBy("period").rowsBetween(Window.unboundedPreceding, 0)
+    d = found.withColumn("net", F.col("total") - F.col("turnover") * cost)
+    return d.select(*by, "grain", "period", "bars", "trades", "turnover", F.col("total").alias("gross"), "net", (start_equity + F.sum("net").over(w)).alias("final_equity"), F.col("fall").alias("drawdown"))
+
+
 def with_grid(df: DataFrame, **parameters: list[float]) -> DataFrame:
     """Every row with every combination of the parameters (a small broadcast table)."""
     for name, values in sorted(parameters.items()):

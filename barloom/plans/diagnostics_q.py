@@ -125,7 +125,21 @@ def d27(spark, d):
 
 _FR = f"{OBS}, fs AS (SELECT {_B}, avg(f) AS m, stddev_pop(f) AS s FROM obs GROUP BY {_B})"
 _q("d28_factor_report", lambda o: D.factor_report(o, BY), f'count(*) AS "rows", count(f) AS "values", round(avg(CAST(f IS NULL AS INT)), 6) AS missing_rate, count(*) FILTER (abs((f - m) / s) > 3) AS outliers, count(DISTINCT f) AS distinct_values, count(DISTINCT f) <= 1 AS constant, {_C} AS pearson_ic', f"obs JOIN fs USING ({_B})", ctes=_FR)
-_q("d29_label_report", lambda o: D.label_report(o, BY), 'count(*) AS "rows", count(*) FILTER (y > 0) AS positive, count(*) FILTER (y < 0) AS negative, count(*) FILTER (y = 0) AS neutral, round(avg(CAST(y IS NULL AS INT)), 6) AS missing_rate, round(greatest(count(*) FILTER (y > 0), count(*) FILTER (y < 0), count(*) FILTER (y = 0)) / count(y), 6) AS majority_share, round(least(count(*) FILTER (y > 0), count(*) FILTER (y < 0)) / count(y), 6) AS minority_share, round(avg(CAST(coalesce(ambiguous, false) AS INT)), 6) AS ambiguous_rate')
+_LR = """count(*) AS "rows", count(*) FILTER (y > 0) AS positive, count(*) FILTER (y < 0) AS negative, count(*) FILTER (y = 0) AS neutral, round(avg(CAST(y IS NULL AS INT)), 6) AS missing_rate, round(greatest(count(*) FILTER (y > 0), count(*) FILTER (y < 0), count(*) FILTER (y = 0)) / count(y), 6) AS majority_share, round(least(count(*) FILTER (y > 0), count(*) FILTER (y < 0)) / count(y), 6) AS minority_share, round(avg(CAST(coalesce(ambiguous, false) AS INT)), 6) AS ambiguous_rate"""
+_HO = f"""{OBS}, lr AS (SELECT {_B}, {_LR} FROM obs GROUP BY {_B}),
+hc AS (SELECT series_id, count(*) AS horizons, min(n) AS min_samples, max(n) AS max_samples, min(n) / max(n) AS coverage_ratio FROM (SELECT series_id, horizon_seconds, count(*) AS n FROM obs GROUP BY 1, 2) GROUP BY 1),
+ends AS (SELECT series_id, t + 3600 AS x, t + 3600 + horizon_seconds AS z FROM obs), tm AS (SELECT DISTINCT series_id, x FROM ends UNION SELECT series_id, z FROM ends),
+op AS (SELECT a.series_id, a.x, (SELECT count(*) FROM ends e WHERE e.series_id = a.series_id AND e.x <= a.x AND e.z > a.x) AS n FROM tm a),
+ho AS (SELECT series_id, min(n) AS min_overlap, max(n) AS max_overlap FROM op WHERE x < (SELECT max(z) FROM ends e WHERE e.series_id = op.series_id) GROUP BY 1)"""
+
+
+@query("d29_label_report", f"WITH {_HO} SELECT lr.*, horizons, min_samples, max_samples, round(coverage_ratio, 6) AS coverage_ratio, min_overlap, max_overlap FROM lr JOIN hc USING (series_id) JOIN ho USING (series_id)")
+def d29(spark, d):
+    """Labels by series and horizon, with their series' horizon coverage and the labels open at a time."""
+    o = observations(spark, d)
+    spans = o.select("series_id", "event_ts", F.timestamp_seconds(F.unix_timestamp("event_ts") + F.col("horizon_seconds")).alias("ends_ts"))
+    whole = D.horizon_coverage(o, ["series_id"]).select("series_id", "horizons", "min_samples", "max_samples", "coverage_ratio")
+    return fixed(D.label_report(o, BY).join(whole, "series_id").join(D.horizon_overlap(spans, ["series_id"], "event_ts", "ends_ts"), "series_id"))
 
 
 def _split(name, column):

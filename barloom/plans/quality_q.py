@@ -16,11 +16,14 @@ from barloom.sources import tables as T
 
 
 def _scratch(spark, name):
+    """A new folder in the shared one; on one machine, where none is named, in its temporary folder."""
     import tempfile
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="barloom-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no shared folder")
+    return f"{(root or 'file://' + tempfile.mkdtemp(prefix='barloom-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def _plain(spark, d):
@@ -93,7 +96,7 @@ def src8(spark, d):
     root, v = _scratch(spark, "values"), _returns(spark, d)
     first = T.write_value_pack(v, root, "f1", ["series_id", "t", "value"])
     again = T.write_value_pack(v, root, "f1", ["series_id", "t", "value"])
-    s = T.value_stats(spark.read.parquet(f"{root}/version_id=f1"), ["series_id"])
+    s = T.value_stats(T.read_value_packs(spark, root, ["f1"]), ["series_id"])
     return s.select("series_id", "rows", "values", F.unix_timestamp("first_ts").alias("first_t"), F.unix_timestamp("last_ts").alias("last_t"), F.lit(first).alias("written"), F.lit(again).alias("written_again"))
 
 
@@ -138,10 +141,46 @@ def can1(spark, d):
     return Y.canonical_bars(_raw(spark, d), 1, 60, weekday).groupBy("series_id", "status").agg(F.count("*").alias("n"))
 
 
-@query("can2_canonical_quotes", f"WITH {A.BARS}, q AS (SELECT series_id, date_trunc('hour', event_ts) AS bar_start_ts, CASE WHEN event_id % 3 > 0 THEN price - 0.05 END AS bid, CASE WHEN event_id % 10 = 0 THEN price - 1 ELSE price + 0.05 END AS ask, event_ts, event_id FROM tr), f AS (SELECT *, row_number() OVER (PARTITION BY series_id, bar_start_ts ORDER BY event_ts) AS k FROM q) SELECT b.series_id, b.t, round(CASE WHEN f.ask >= f.bid THEN f.bid ELSE 0 END, 6) AS bid, round(CASE WHEN f.ask >= f.bid THEN f.ask ELSE 0 END, 6) AS ask, CASE WHEN f.bid IS NULL THEN 'missing_bbo' WHEN f.ask < f.bid THEN 'missing_bbo,bbo_quarantined' ELSE '' END AS quality_flags FROM bars b LEFT JOIN f ON f.series_id = b.series_id AND f.bar_start_ts = b.bar_start_ts AND k = 1")
+_CQ = f"""{A.TRADES}, mb AS (SELECT DISTINCT series_id, date_trunc('minute', event_ts) AS b FROM tr),
+q0 AS (SELECT series_id, event_id, event_ts + INTERVAL 40 SECOND AS ts, CASE WHEN series_id IN ('error', 'purchase') THEN date_trunc('minute', event_ts) END AS ex,
+  CASE WHEN event_id % 7 > 0 THEN price - 0.05::DOUBLE END AS bid, CASE WHEN event_id % 10 = 0 THEN price - 1 ELSE price + 0.05::DOUBLE END AS ask, size AS bs, size + 1 AS asz FROM tr),
+q1 AS (SELECT *, date_trunc('minute', ts) AS fl FROM q0),
+q2 AS (SELECT q.*, coalesce(ex, CASE WHEN own.b IS NOT NULL THEN fl WHEN before.b IS NOT NULL THEN fl - INTERVAL 1 MINUTE ELSE fl END) AS st FROM q1 q
+  LEFT JOIN mb own ON own.series_id = q.series_id AND own.b = fl LEFT JOIN mb before ON before.series_id = q.series_id AND before.b = fl - INTERVAL 1 MINUTE),
+q3 AS (SELECT *, count(*) OVER (PARTITION BY series_id, st) AS copies FROM q2 QUALIFY row_number() OVER (PARTITION BY series_id, st ORDER BY ts, event_id) = 1),
+q4 AS (SELECT q3.*, CASE WHEN mb.b IS NULL THEN 'no_bar' WHEN bid IS NULL OR ask IS NULL THEN 'missing_value' WHEN ask < bid THEN 'crossed' WHEN ts < st OR ts > st + INTERVAL 1 MINUTE THEN 'outside_bar' ELSE 'ok' END AS reason
+  FROM q3 LEFT JOIN mb ON mb.series_id = q3.series_id AND mb.b = st)"""
+
+
+def _minutes(spark, d):
+    """Bars and quotes by the minute: every trade makes its minute's bar, and a quote 40 seconds later; two kinds name their bar."""
+    t = A.trades(spark, d)
+    minute = F.date_trunc("minute", "event_ts")
+    bars = t.select("series_id", minute.alias("bar_start_ts")).distinct()
+    quotes = t.select(
+        "series_id", "event_id", (F.col("event_ts") + F.expr("interval 40 seconds")).alias("event_ts"), F.when(F.col("series_id").isin("error", "purchase"), minute).alias("bar_start_ts"),
+        F.when(F.col("event_id") % 7 > 0, F.col("price") - 0.05).alias("bid"), F.when(F.col("event_id") % 10 == 0, F.col("price") - 1).otherwise(F.col("price") + 0.05).alias("ask"), F.col("size").alias("bid_size"), (F.col("size") + 1).alias("ask_size"),
+    )
+    return quotes, bars
+
+
+@query("can2_canonical_quotes", f"""WITH {_CQ}
+SELECT mb.series_id, CAST(epoch(mb.b) AS BIGINT) AS t, CAST(floor(epoch(CASE WHEN reason = 'ok' THEN ts ELSE mb.b + INTERVAL 1 MINUTE END)) AS BIGINT) AS event_t,
+  round(CASE WHEN reason = 'ok' THEN bid ELSE 0 END, 6) AS bid, round(CASE WHEN reason = 'ok' THEN ask ELSE 0 END, 6) AS ask, CASE WHEN reason = 'ok' THEN bs ELSE 0 END AS bid_size,
+  round(CASE WHEN reason = 'ok' THEN (bid + ask) / 2 ELSE 0 END, 6) AS mid, round(CASE WHEN reason = 'ok' THEN ask - bid ELSE 0 END, 6) AS spread,
+  CASE WHEN reason IS NULL THEN 'missing_bbo' WHEN reason <> 'ok' THEN 'missing_bbo,bbo_quarantined' ELSE '' END AS quality_flags
+FROM mb LEFT JOIN q4 ON q4.series_id = mb.series_id AND q4.st = mb.b""")
 def can2(spark, d):
-    q = A.trades(spark, d).select("series_id", "event_ts", F.when(F.col("event_id") % 3 > 0, F.col("price") - 0.05).alias("bid"), F.when(F.col("event_id") % 10 == 0, F.col("price") - 1).otherwise(F.col("price") + 0.05).alias("ask"))
-    return out(Y.canonical_quotes(q, A.bars(spark, d)).withColumn("t", F.unix_timestamp("bar_start_ts")), "bid", "ask", "quality_flags")
+    q = Y.canonical_quotes(*_minutes(spark, d), arrival=["event_ts", "event_id"])
+    q = q.withColumn("t", F.unix_timestamp("bar_start_ts")).withColumn("event_t", F.unix_timestamp("event_ts"))
+    return out(q, "event_t", "bid", "ask", "bid_size", "mid", "spread", "quality_flags")
+
+
+@query("can2_quote_counts", f"""WITH {_CQ}, n AS (SELECT series_id, count(*) AS bars FROM mb GROUP BY 1)
+SELECT series_id, sum(copies - 1)::BIGINT AS duplicates, count(*) FILTER (reason = 'no_bar') AS no_bar, count(*) FILTER (reason = 'missing_value') AS missing_value, count(*) FILTER (reason = 'crossed') AS crossed,
+  count(*) FILTER (reason = 'outside_bar') AS outside_bar, any_value(bars) - count(*) FILTER (reason = 'ok') AS missing FROM q4 JOIN n USING (series_id) GROUP BY 1""")
+def can2_counts(spark, d):
+    return Y.quote_counts(*_minutes(spark, d), arrival=["event_ts", "event_id"])
 
 
 @query("can3_canonical_trades", f"WITH {A.TRADES} SELECT series_id, count(*) AS trades, round(sum(price), 4) AS total FROM tr GROUP BY 1")
@@ -245,12 +284,38 @@ def qua6(spark, d):
     return e.groupBy("series_id", F.col("date").cast("string").alias("date")).agg(F.count("*").alias("expected"))
 
 
-_CV = f"{A.GRID}, fl AS (SELECT *, min(t) FILTER (has_trade) OVER p AS f0, max(t) FILTER (has_trade) OVER p AS l0 FROM grid WINDOW p AS (PARTITION BY series_id)), ho AS (SELECT *, t // 3600 - row_number() OVER (PARTITION BY series_id ORDER BY t) AS i FROM fl WHERE NOT has_trade AND t > f0 AND t < l0), hr AS (SELECT series_id, i, min(t) AS a, max(t) AS b, count(*) AS len FROM ho GROUP BY 1, 2)"
+def _cover_sql(mode):
+    """The metrics of every slot of five minutes, listed one by one, of hourly sessions with a break of ten minutes."""
+    synthetic = "c.t IS NULL AND rth" if mode == "dense" else "false"
+    return f"""SELECT '{mode}' AS mode, series_id, sum(expected)::BIGINT AS expected, sum(observed)::BIGINT AS observed, sum(traded)::BIGINT AS traded, sum(synthetic)::BIGINT AS synthetic, sum(unfilled)::BIGINT AS unfilled, sum(no_trade)::BIGINT AS no_trade,
+  sum(long_runs)::BIGINT AS long_runs, sum(long_run_bars)::BIGINT AS long_run_bars, sum(gap)::BIGINT AS gap, sum(absent_bars)::BIGINT AS non_trading_bars, count(*) FILTER (absent) AS non_trading_intervals, round(coalesce(sum(no_trade) / nullif(sum(expected), 0), 0), 6) AS no_trade_ratio
+FROM (SELECT series_id, h, s, absent, n * absent::INT AS absent_bars, n * (1 - absent::INT) AS expected, observed * (1 - absent::INT) AS observed, traded * (1 - absent::INT) AS traded, synthetic * (1 - absent::INT) AS synthetic,
+  CASE WHEN absent THEN 0 WHEN observed = 0 THEN n ELSE greatest((op - s) // 300, 0) END AS unfilled, coalesce(synthetic * (1 - absent::INT), 0) + coalesce(r_no, 0) AS no_trade, coalesce(r_long, 0) AS long_runs, coalesce(r_bars, 0) AS long_run_bars, coalesce(r_gap, 0) AS gap
+  FROM (SELECT series_id, h, s, bool_and(sf IS NULL) AS absent, count(*) AS n, count(*) FILTER (tr OR sy) AS observed, count(*) FILTER (tr) AS traded, count(*) FILTER (sy) AS synthetic, any_value(coalesce(f, sf)) AS op FROM m_{mode} GROUP BY 1, 2, 3)
+  LEFT JOIN (SELECT series_id, h, s, sum(n) FILTER (lg OR '{mode}' = 'sparse') AS r_no, count(*) FILTER (lg) AS r_long, sum(n) FILTER (lg) AS r_bars, sum(n) FILTER (NOT lg AND '{mode}' = 'dense') AS r_gap
+    FROM (SELECT *, coalesce(f < a AND l >= b, false) AND n > 1 AS lg FROM (SELECT series_id, h, s, i, min(t) AS a, max(t) + 300 AS b, count(*) AS n, any_value(f) AS f, any_value(l) AS l, any_value(coalesce(f, sf)) AS op, any_value(obs) AS obs
+      FROM (SELECT *, t // 300 - row_number() OVER (PARTITION BY series_id, h, s ORDER BY t) AS i FROM (SELECT *, count(*) FILTER (tr OR sy) OVER (PARTITION BY series_id, h, s) AS obs FROM m_{mode}) WHERE NOT tr AND NOT sy AND obs > 0) GROUP BY 1, 2, 3, 4) WHERE b > op) GROUP BY 1, 2, 3) USING (series_id, h, s))
+GROUP BY 2""", f"""m_{mode} AS (SELECT *, min(t) FILTER (tr) OVER (PARTITION BY series_id, h) AS sf, min(t) FILTER (tr) OVER (PARTITION BY series_id, h, s) AS f, max(t) FILTER (tr) OVER (PARTITION BY series_id, h, s) AS l
+  FROM (SELECT x.series_id, x.h, x.s, x.t, c.t IS NOT NULL AS tr, {synthetic} AS sy FROM slots x LEFT JOIN five c ON c.series_id = x.series_id AND c.t = x.t))"""
 
 
-@query("qua7_coverage", f"WITH {_CV} SELECT series_id, count(*) AS expected, count(*) FILTER (has_trade) AS traded, count(*) FILTER (t < f0) AS leading, count(*) FILTER (NOT has_trade AND t > f0 AND t < l0) AS inner_missing, coalesce((SELECT count(*) FROM hr WHERE hr.series_id = fl.series_id), 0) AS holes, coalesce((SELECT max(len) FROM hr WHERE hr.series_id = fl.series_id), 0) AS longest_hole, (SELECT count(*) FROM hr WHERE hr.series_id = fl.series_id AND len > 1) AS long_holes, round(1 - count(*) FILTER (has_trade) / count(*), 6) AS no_trade_ratio FROM fl GROUP BY series_id")
+_SLOTS = f"""{A.TRADES}, five AS (SELECT DISTINCT series_id, CAST(floor(epoch(event_ts)) AS BIGINT) // 300 * 300 AS t FROM tr), hs AS (SELECT unnest(generate_series((SELECT min(t) // 3600 * 3600 FROM five), (SELECT max(t) // 3600 * 3600 FROM five), 3600)) AS h),
+slots AS (SELECT series_id, h, h + o AS s, h + o + k AS t, (h - 6 * 3600) // 3600 % 24 BETWEEN 9 AND 14 AS rth FROM (SELECT DISTINCT series_id FROM five), hs, (SELECT unnest([0, 2100]) AS o), (SELECT unnest(generate_series(0, 1200, 300)) AS k))"""
+
+
+@query("qua7_coverage", f"WITH {_SLOTS}, {_cover_sql('sparse')[1]}, {_cover_sql('dense')[1]} {_cover_sql('sparse')[0]} UNION ALL {_cover_sql('dense')[0]}")
 def qua7(spark, d):
-    return fixed(Y.coverage(A.grid(spark, d), ["series_id"], 1))
+    """Bars of five minutes against hourly sessions with a break, once sparse and once as a grid that is filled in RTH hours."""
+    five = A.trades(spark, d).select("series_id", (F.floor(F.unix_timestamp("event_ts") / 300) * 300).alias("t")).distinct().withColumn("h", (F.floor(F.col("t") / 3600) * 3600))
+    span = five.agg(F.min("h").alias("a"), F.max("h").alias("b")).select(F.explode(F.sequence("a", "b", F.lit(3600).cast("long"))).alias("h"))
+    hours = five.select("series_id").distinct().crossJoin(F.broadcast(span))
+    parts = F.explode(F.array(*[F.struct((F.col("h") + o).alias("start_t"), (F.col("h") + o + 1500).alias("end_t")) for o in (0, 2100)]))
+    intervals = hours.select("series_id", "h", parts.alias("p")).select("series_id", "h", "p.*")
+    slots = intervals.filter(F.floor((F.col("h") - 6 * 3600) / 3600) % 24 >= 9).filter(F.floor((F.col("h") - 6 * 3600) / 3600) % 24 <= 14).select("series_id", "h", F.explode(F.sequence("start_t", F.col("end_t") - 300, F.lit(300).cast("long"))).alias("t"))
+    filled = slots.join(five, ["series_id", "h", "t"], "left_anti").select("series_id", "h", "t", F.lit(False).alias("has_trade"), F.lit(True).alias("synthetic"))
+    grid = five.select("series_id", "h", "t", F.lit(True).alias("has_trade"), F.lit(False).alias("synthetic")).unionByName(filled)
+    sparse = Y.coverage(intervals, five, ["series_id"], ["h"], 1, 300).withColumn("mode", F.lit("sparse"))
+    return fixed(sparse.unionByName(Y.coverage(intervals, grid, ["series_id"], ["h"], 1, 300, dense=True).withColumn("mode", F.lit("dense"))))
 
 
 @query("qua8_missing_runs", f"WITH {A.GRID}, m AS (SELECT *, t // 3600 - row_number() OVER (PARTITION BY series_id ORDER BY t) AS i FROM grid WHERE NOT has_trade) SELECT series_id, min(t // 3600) AS first, max(t // 3600) AS last, count(*) AS length FROM m GROUP BY series_id, i")
@@ -275,6 +340,9 @@ def den1(spark, d):
     return out(Y.densify(A.grid(spark, d), ["series_id"]), "open", "close", "volume", "synthetic", "fill_method")
 
 
+_CV = f"{A.GRID}, fl AS (SELECT *, min(t) FILTER (has_trade) OVER p AS f0, max(t) FILTER (has_trade) OVER p AS l0 FROM grid WINDOW p AS (PARTITION BY series_id)), ho AS (SELECT *, t // 3600 - row_number() OVER (PARTITION BY series_id ORDER BY t) AS i FROM fl WHERE NOT has_trade AND t > f0 AND t < l0), hr AS (SELECT series_id, i, min(t) AS a, max(t) AS b, count(*) AS len FROM ho GROUP BY 1, 2)"
+
+
 @query("den2_long_no_trade_runs", f"WITH {_CV} SELECT series_id, a AS first_t, b AS last_t, len AS length FROM hr WHERE len > 1")
 def den2(spark, d):
     g = A.grid(spark, d)

@@ -177,6 +177,18 @@ def g14(spark, d):
     return fixed(G.leaderboard(r, 8))
 
 
+def _periods_sql(grain, key):
+    return f"""SELECT series_id, threshold, '{grain}' AS grain, period, bars, trades, turnover, round(gross, 6) AS gross, round(net, 6) AS net, round(1 + sum(net) OVER (PARTITION BY series_id, threshold ORDER BY period), 6) AS final_equity, round(drawdown, 6) AS drawdown
+FROM (SELECT series_id, th AS threshold, period, count(*) AS bars, count(*) FILTER (dp <> 0) AS trades, sum(abs(dp))::BIGINT AS turnover, sum(pos * y) AS gross, sum(pos * y) - sum(abs(dp)) * 0.0005::DOUBLE AS net, max(greatest(peak, 0) - run) AS drawdown
+  FROM (SELECT *, max(run) OVER (PARTITION BY series_id, th, period ORDER BY t) AS peak FROM (SELECT * EXCLUDE (run), sum(pos * y) OVER (PARTITION BY series_id, th, period ORDER BY t) AS run FROM (SELECT *, {key} AS period FROM dl))) GROUP BY 1, 2, 3)"""
+
+
+@query("g14_period_results", f"WITH {_POS} {_periods_sql('month', "strftime(bar_end_ts, '%Y-%m')")} UNION ALL {_periods_sql('week', "strftime(bar_end_ts, '%G-W%V')")} UNION ALL {_periods_sql('total', "''")}")
+def g14_periods(spark, d):
+    """Every configuration by month, by week and over all, combined from the states of its days."""
+    return fixed(G.period_results(_positions(spark, d), ["series_id", "threshold"], "event_ts", "t", ("month", "week"), cost=0.0005))
+
+
 _EN = f"""{A.BARS}, nb AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY t) AS k, count(*) OVER (PARTITION BY series_id) AS total, CAST(bar_start_ts AS DATE) AS day,
   greatest(close * 0.95::DOUBLE, close - 1.0::DOUBLE * (high - low + 1)) AS sp FROM bars), en AS (SELECT *, close + (close - sp) * 1.5::DOUBLE AS tp, max(k) OVER (PARTITION BY series_id, day) AS ends FROM nb),
 hit AS (SELECT e.series_id, e.t, min(f.k) AS hk FROM en e JOIN nb f ON f.series_id = e.series_id AND f.k > e.k AND f.k <= least(e.k + 5, e.ends) AND (f.low <= e.sp OR f.high >= e.tp) GROUP BY 1, 2),

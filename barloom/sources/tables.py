@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -60,23 +63,86 @@ def value_stats(values: DataFrame, by: list[str], value: str = "value") -> DataF
     return values.groupBy(*by).agg(F.count("*").alias("rows"), F.count(value).alias("values"), F.min("event_ts").alias("first_ts"), F.max("event_ts").alias("last_ts"))
 
 
+MANIFEST = "current.json"
+_PACK = "pack string, digest string, n long, values long, first_ts timestamp, last_ts timestamp, least double, most double"
+
+
+def _file_system(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return jvm.org.apache.hadoop.fs.Path, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def manifest(spark: SparkSession, root: str, version_id: str) -> dict | None:
+    """What a version's manifest says of its current pack; None without one."""
+    path, fs = _file_system(spark, root)
+    at = f"{root}/version_id={version_id}/{MANIFEST}"
+    return spark.read.schema(_PACK).json(at).first().asDict() if fs.exists(path(at)) else None
+
+
+def _publish(spark: SparkSession, folder: str, entry: DataFrame) -> None:
+    """Write the manifest beside its place and rename it there: a reader sees the old one or the new one."""
+    path, fs = _file_system(spark, folder)
+    draft = f"{folder}/_draft-{uuid.uuid4().hex}"
+    entry.coalesce(1).write.json(draft)
+    part = next(f.getPath() for f in fs.listStatus(path(draft)) if f.getPath().getName().startswith("part-"))
+    context = spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(part.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    overwrite = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(context.makeQualified(part), context.makeQualified(path(f"{folder}/{MANIFEST}")), overwrite)
+    fs.delete(path(draft), True)
+
+
 def write_value_pack(values: DataFrame, root: str, version_id: str, columns: list[str]) -> bool:
-    """Write a pack under version_id=...; a pack whose content hash is already there is left as it is (False)."""
+    """Write a pack of values as the current one of version_id; one with the same content hash is left as it is (False).
+
+    Packs are folders that never change.  The data are written first, then the
+    manifest, which names the pack and holds its hash and statistics, is renamed
+    into its place.  A writer that fails before leaves the old pack current, and
+    a folder that nothing names.
+    """
     spark = values.sparkSession
-    target = f"{root}/version_id={version_id}"
+    folder = f"{root}/version_id={version_id}"
+    now = manifest(spark, root, version_id)
     digest = values.agg(content_hash(*columns).alias("h")).first()[0]
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/_content_hash")
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(path) and spark.read.text(f"{target}/_content_hash").first()[0] == digest:
+    if now is not None and now["digest"] == digest:
         return False
-    values.write.mode("overwrite").parquet(target)
-    spark.createDataFrame([(digest,)], "value string").coalesce(1).write.mode("overwrite").text(f"{target}/_content_hash")
+    pack = f"pack-{uuid.uuid4().hex}"
+    values.write.parquet(f"{folder}/{pack}")
+    value = F.col("value").cast("double")
+    stats = spark.read.schema(values.schema).parquet(f"{folder}/{pack}").agg(
+        F.lit(pack).alias("pack"), content_hash(*columns).alias("digest"), F.count("*").alias("n"), F.count("value").alias("values"), F.min("event_ts").alias("first_ts"), F.max("event_ts").alias("last_ts"), F.min(value).alias("least"), F.max(value).alias("most"),
+    )
+    _publish(spark, folder, stats)
     return True
 
 
-def read_value_packs(spark: SparkSession, root: str, version_ids: list[str]) -> DataFrame:
-    """Only the asked packs: the list of ids prunes partitions."""
-    return spark.read.option("basePath", root).parquet(*[f"{root}/version_id={v}" for v in version_ids])
+def read_value_packs(spark: SparkSession, root: str, version_ids: list[str], since=None, until=None) -> DataFrame:
+    """The current packs of the asked versions, with version_id; those whose event times lie outside since..until are not read.
+
+    Rows are not filtered: the times only leave packs out.
+    """
+    packs = []
+    for version in version_ids:
+        entry = manifest(spark, root, version)
+        if entry is None:
+            raise FileNotFoundError(f"no pack of {version}")
+        early = since is not None and entry["last_ts"] is not None and entry["last_ts"] < since
+        late = until is not None and entry["first_ts"] is not None and entry["first_ts"] > until
+        packs.append((version, entry["pack"], early or late))
+    read = lambda version, pack: spark.read.parquet(f"{root}/version_id={version}/{pack}").withColumn("version_id", F.lit(version))
+    kept = [read(v, p) for v, p, outside in packs if not outside]
+    return reduce(DataFrame.unionByName, kept) if kept else read(*packs[0][:2]).filter(F.lit(False))
+
+
+def drop_old_packs(spark: SparkSession, root: str, version_id: str) -> list[str]:
+    """Delete the folders of a version that its manifest does not name; for when no reader or writer is at work."""
+    path, fs = _file_system(spark, root)
+    entry, folder = manifest(spark, root, version_id), f"{root}/version_id={version_id}"
+    old = sorted(f.getPath().getName() for f in fs.listStatus(path(folder)) if f.isDirectory() and (entry is None or f.getPath().getName() != entry["pack"]))
+    for name in old:
+        fs.delete(path(f"{folder}/{name}"), True)
+    return old
 
 
 def as_of(view: DataFrame, available_ts) -> DataFrame:

@@ -219,9 +219,10 @@ def test_coverage_of_minute_bars(spark):
     from barloom.operators.quality import coverage
 
     traded = {0, 1, 4, 5, 9}
-    grid = spark.createDataFrame([("s", 60 * m, m in traded) for m in range(10)], "series_id string, t long, has_trade boolean")
-    r = coverage(grid, ["series_id"], 2, 60).first()
-    assert (r.holes, r.longest_hole, r.long_holes, r.inner_missing) == (2, 3, 1, 5)
+    intervals = spark.createDataFrame([("s", "day", 0, 600)], "series_id string, session string, start_t long, end_t long")
+    rows = spark.createDataFrame([("s", "day", 60 * m) for m in traded], "series_id string, session string, t long")
+    r = coverage(intervals, rows, ["series_id"], ["session"], 2, 60).first()
+    assert (r.expected, r.traded, r.no_trade, r.long_runs, r.long_run_bars) == (10, 5, 5, 1, 3)
 
 
 def test_surrogates_equal_to_the_effect_do_not_count(spark):
