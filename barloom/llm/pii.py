@@ -4,7 +4,9 @@ One pattern finds the entities.  An entity's canonical form (digits of a phone
 or card number, lower-cased e-mail, ...) and a secret key give a SHA-256, from
 which every letter and digit of the surrogate is drawn, so one entity has one
 surrogate everywhere, however it is written.  Surrogates keep the type, the
-layout, letter case, script, a name's gender, and a card number's checksum.
+layout, letter case, script, a given name's gender, and the checksums of card
+and account numbers.  Tables with entities in plain text are deleted again;
+what stays for the result's sake names them by a keyed hash.
 Surrogates that two entities share, or that are themselves an entity of the
 corpus, are found over all distinct entities and drawn anew.  Where drawing
 anew does not settle it, as few forms are left, a surrogate gets longer.
@@ -108,6 +110,20 @@ def _digits(number: Column, seed: Column, keep: Column) -> Column:
     return F.when((F.char_length(number) >= 13) & (_luhn(number) == 0), F.concat(base, check)).otherwise(drawn)
 
 
+def _remainder(account: Column) -> Column:
+    """Remainder modulo 97 of an account number: its first four characters moved to the end, letters as 10 to 35."""
+    moved = F.concat(F.substring(account, F.lit(5), F.char_length(account)), F.substring(account, 1, 4))
+    step = lambda a, c: F.pmod(F.when(c.rlike("[0-9]"), a * 10 + F.coalesce(c.try_cast("int"), F.lit(0))).otherwise(a * 100 + F.ascii(c) - 55), F.lit(97))
+    return F.aggregate(F.split(moved, ""), F.lit(0), step)
+
+
+def _iban(account: Column, seed: Column) -> Column:
+    """An account number of the same country and layout; a sound one's check digits are made to fit."""
+    country, rest = F.substring(account, 1, 2), _like(F.substring(account, F.lit(5), F.lit(40)), seed)
+    check = F.lpad((98 - _remainder(F.concat(country, F.lit("00"), rest))).cast("string"), 2, "0")
+    return F.concat(country, F.when(_remainder(account) == 1, check).otherwise(_like(F.substring(account, 3, 2), seed)), rest)
+
+
 def _name(kind: Column, word: Column, given: Column, seed: Column) -> Column:
     """A name of the same script; given names end as the gender's names mostly do."""
 
@@ -130,7 +146,10 @@ def surrogate_form(kind: Column, canon: Column, key: str, attempt: Column) -> Co
     site = F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("domain"), lower_domain), 256)
     octets = F.array_join(F.transform(F.split(canon, r"\."), lambda c, i: (1 + _draw(whole, i, 254)).cast("string")), ".")
     words = F.split(canon, " ")
-    names = F.array_join(F.transform(words, lambda w, i: _name(kind, w, (i == 0) & (F.size(words) > 1), seed(w))), " ")
+    # a family name has one surrogate, whoever of the family is named, so a redraw of a full name changes its given name
+    family = lambda w: F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("name"), w, F.when(F.size(words) > 1, "0").otherwise(attempt.cast("string"))), 256)
+    given = lambda i: (i == 0) & (F.size(words) > 1)
+    names = F.array_join(F.transform(words, lambda w, i: _name(kind, w, given(i), F.when(given(i), seed(w)).otherwise(family(w)))), " ")
     # a country code and a card number's first digit say what it is, not whose
     country = F.when(kind == "phone", F.greatest(F.char_length(canon) - 10, F.lit(0))).when(kind == "card", F.lit(1)).otherwise(F.lit(0))
     # too few forms are left in the entity's own layout: characters are added, so that the forms never run out
@@ -148,7 +167,8 @@ def surrogate_form(kind: Column, canon: Column, key: str, attempt: Column) -> Co
         .when(kind.isin("phone", "card", "ssn"), F.concat(_digits(canon, whole, country), more))
         .when(kind == "ip", F.concat(octets, more))
         .when(kind.isin("male", "female"), F.concat(names, more))
-        .when(kind.isin("cloud_key", "iban"), F.concat(F.substring(canon, 1, 2), F.when(kind == "iban", "").otherwise(F.substring(canon, 3, 2)), _like(F.substring(canon, F.when(kind == "iban", 3).otherwise(5), F.lit(40)), whole), more))
+        .when(kind == "cloud_key", F.concat(F.substring(canon, 1, 4), _like(F.substring(canon, F.lit(5), F.lit(40)), whole), more))
+        .when(kind == "iban", F.concat(_iban(canon, whole), more))
         .otherwise(F.concat(_like(canon, whole), more))
     )
 
@@ -178,7 +198,12 @@ def find_entities(text: Column) -> Column:
     return F.transform(F.coalesce(found, F.array().cast("array<string>")), one)
 
 
-def collisions(entities: DataFrame, key: str) -> DataFrame:
+def _hidden(kind: Column, canon: Column, key: str) -> Column:
+    """An entity's keyed hash, by which tables outside the texts name it."""
+    return F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("hidden"), kind, canon), 256)
+
+
+def collisions(entities: DataFrame, key: str, scratch: Scratch | None = None) -> DataFrame:
     """(kind, canon, attempt): the entities whose first surrogate clashes, and the attempt that does not.
 
     entities: distinct (kind, canon).  A surrogate clashes if it is an entity
@@ -187,7 +212,16 @@ def collisions(entities: DataFrame, key: str) -> DataFrame:
     empty; it is never collected.  No clash is left: from REDRAWS on forms get
     longer, and a clash after MOST_DRAWS is an error.
     """
-    scratch = Scratch(entities.sparkSession)
+    own = scratch or Scratch(entities.sparkSession)
+    before = set(own.paths)
+    try:
+        return _settled(entities, key, own)
+    finally:
+        # these tables hold real entities beside their surrogates
+        own.drop(*[name for name in own.paths if name != "settled" and name not in before])
+
+
+def _settled(entities: DataFrame, key: str, scratch: Scratch) -> DataFrame:
     form = lambda df: df.withColumn("form", surrogate_form(F.col("kind"), F.col("canon"), key, F.col("attempt")))
     now = scratch.save(form(entities.withColumn("attempt", F.lit(0))), "surrogates-0")
     turn = 0
@@ -200,7 +234,7 @@ def collisions(entities: DataFrame, key: str) -> DataFrame:
         turn += 1
         clash = scratch.save(clash, f"clash-{turn}")
         if clash.isEmpty():
-            return now.filter("attempt > 0").select("kind", "canon", "attempt")
+            return scratch.save(now.filter("attempt > 0").select("kind", "canon", "attempt"), "settled")
         if turn > MOST_DRAWS:
             raise RuntimeError(f"{clash.count()} entities share a surrogate or have that of an entity after {MOST_DRAWS} draws")
         moved = form(now.join(clash, ["kind", "canon"]).select("kind", "canon", (F.col("attempt") + 1).alias("attempt")))
@@ -218,18 +252,22 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text") -> DataF
     scratch = Scratch(docs.sparkSession)
     found = find_entities(F.col(text_col))
     each = docs.filter(F.col(text_col).rlike(HINT)).select(F.explode(found).alias("e")).select("e.kind", "e.canon").distinct()
-    entities = scratch.save(each, "entities")
-    again = scratch.save(collisions(entities, key), "collided")
+    try:
+        moved = collisions(scratch.save(each, "entities"), key, scratch)
+        again = Scratch(docs.sparkSession).save(moved.select("kind", _hidden(F.col("kind"), F.col("canon"), key).alias("hidden"), "attempt"), "collided")
+    finally:
+        scratch.drop(*list(scratch.paths))
     base = docs.select(*[F.col(f"`{c}`") for c in rest], found.alias("__found"))
     if again.isEmpty():
-        base = base.withColumn("__again", F.lit(None).cast("array<struct<kind:string,canon:string,attempt:int>>"))
+        base = base.withColumn("__again", F.lit(None).cast("array<struct<kind:string,hidden:string,attempt:int>>"))
     else:  # texts with a clashing entity learn its attempt by the text's hash
-        hits = docs.filter(F.col(text_col).rlike(HINT)).select(F.md5(F.col(text_col)).alias("__md5"), F.explode(found).alias("e")).select("__md5", "e.kind", "e.canon").distinct()
-        told = hits.join(again, ["kind", "canon"]).groupBy("__md5").agg(F.collect_list(F.struct("kind", "canon", "attempt")).alias("__again"))
+        hits = docs.filter(F.col(text_col).rlike(HINT)).select(F.md5(F.col(text_col)).alias("__md5"), F.explode(found).alias("e")).select("__md5", "e.kind", _hidden(F.col("e.kind"), F.col("e.canon"), key).alias("hidden")).distinct()
+        told = hits.join(again, ["kind", "hidden"]).groupBy("__md5").agg(F.collect_list(F.struct("kind", "hidden", "attempt")).alias("__again"))
         base = base.withColumn("__md5", F.md5(F.col(text_col))).join(told, "__md5", "left").drop("__md5")
 
     def new(e):
-        tries = F.filter("__again", lambda a: (a["kind"] == e["kind"]) & (a["canon"] == e["canon"]))
+        hidden = F.when(F.size("__again") > 0, _hidden(e["kind"], e["canon"], key))
+        tries = F.filter("__again", lambda a: (a["kind"] == e["kind"]) & (a["hidden"] == hidden))
         attempt = F.coalesce(F.get(F.transform(tries, lambda a: a["attempt"]), F.lit(0)), F.lit(0))
         return written(e["kind"], e["entity"], e["canon"], surrogate_form(e["kind"], e["canon"], key, attempt))
 
