@@ -12,7 +12,9 @@ follow the band, a line meets its ``NEIGHBOURS`` predecessors and the first line
 So bands of up to ``NEIGHBOURS`` + 1 lines are searched whole, and in larger
 ones near lines stand next to each other, as they share what follows.  Bands
 of over ``BLOCK`` lines are dealt into blocks by the line's hash, anew for each
-band.  Pairs whose signatures share three fifths of their values, whose sets have sizes
+band.  What this leaves over in bands that still hold several components is
+searched after it: each such band's hub meets the lines of other components,
+and then all lines of different components meet, block by block.  Pairs whose signatures share three fifths of their values, whose sets have sizes
 for the similarity and whose samples of an eighth do not rule it out are verified by the
 exact Jaccard similarity of all shingles; connected components keep one line.
 """
@@ -34,6 +36,8 @@ SIMILARITY = 0.8
 NEIGHBOURS = 8
 #: Lines of a band that one task sorts together; a larger band is dealt into blocks.
 BLOCK = 4096
+#: Lines of an open band that a task compares with each other, or with as many others.
+REST_BLOCK = 256
 #: Characters that start the shingles which come first, and second, in the order of signatures; then all others.
 _TIERS = (r"[bgkpvwxyz0-9\x{80}-\x{10ffff}]", "[acdflmu]", r"[^abcdfgklmpuvwxyz0-9\x{80}-\x{10ffff}]")
 _PACKED = [f"p{k}" for k in range(SKETCH // 2)]
@@ -147,15 +151,23 @@ def _banded(table: DataFrame) -> DataFrame:
     return dealt.select("k1", "m0", "m1", band.alias("band"), F.shiftleft(follow, 32).bitwiseOR(then).alias("rest"))
 
 
-def candidates(table: DataFrame, neighbours: int = NEIGHBOURS, block: int = BLOCK) -> DataFrame:
+def shared_bands(table: DataFrame) -> DataFrame:
+    """(band, lines) of the bands that several lines have."""
+    return _banded(table).groupBy("band").agg(F.count("*").alias("lines")).filter("lines > 1")
+
+
+def candidates(table: DataFrame, neighbours: int = NEIGHBOURS, block: int = BLOCK, *, shared: DataFrame | None = None) -> DataFrame:
     """Distinct pairs (a, b), a < b, of lines that meet in a band and whose signatures share three fifths of their values.
 
+    Bands of up to ``neighbours`` + 1 lines are searched whole, larger ones in
+    part: what is left of these is for ``hub_pairs`` and ``rest_pairs``.
+
     At a similarity of 0.8 a value of one line is in the other with 2 * 0.8 / 1.8 = 0.89,
     so the second test misses about 0.5 % there (a binomial of SKETCH draws), less
     above.  It counts values in sets of 128 bits, where few fall together.
     """
     banded = _banded(table)
-    shared = banded.groupBy("band").agg(F.count("*").alias("lines")).filter("lines > 1")
+    shared = shared_bands(table) if shared is None else shared
     members = banded.join(shared.hint("shuffle_hash"), "band").select("band", "rest", "k1", "m0", "m1", F.when(F.col("lines") > block, F.pmod(F.xxhash64("k1", "band"), F.ceil(F.col("lines") / block))).otherwise(0).alias("block"))
     order = Window.partitionBy("band", "block").orderBy("rest", "k1")
     earlier = {j: [F.lag(c, j).over(order).alias(f"{c}_{j}") for c in ("k1", "m0", "m1")] for j in range(1, neighbours + 1)}
@@ -172,6 +184,55 @@ def candidates(table: DataFrame, neighbours: int = NEIGHBOURS, block: int = BLOC
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def _share(x, y) -> Column:
+    """Whether two lines' signatures (m0, m1) share three fifths of their values."""
+    size = lambda a, b: F.bit_count(a) + F.bit_count(b)
+    both = size(x["m0"].bitwiseAND(y["m0"]), x["m1"].bitwiseAND(y["m1"]))
+    return 5 * both >= 3 * F.least(size(x["m0"], x["m1"]), size(y["m0"], y["m1"]))
+
+
+def large_bands(table: DataFrame, shared: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
+    """(band, k1, m0, m1) of the bands that ``candidates`` does not search whole."""
+    large = shared.filter(F.col("lines") > neighbours + 1).select("band")
+    large = F.broadcast(large) if small_enough(large, 16) else large
+    return _banded(table).join(large, "band", "left_semi").select("band", "k1", "m0", "m1").distinct()
+
+
+def _open_bands(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members (band, k1, m0, m1) with the root of their component, of bands that hold several components."""
+    rooted = members.join(roots, members["k1"] == roots["node"], "left").select("band", "k1", "m0", "m1", F.coalesce("component", "k1").alias("root"))
+    mixed = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band")
+    return rooted.join(mixed, "band", "left_semi")
+
+
+def hub_pairs(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs of each open band's hub, the line in most large bands, with the lines of other components: linear in the lines."""
+    open_ = _open_bands(members, roots)
+    met = members.groupBy("k1").agg(F.count("*").alias("met"))
+    line = F.struct("met", "k1", "m0", "m1", "root")
+    hubs = open_.join(met, "k1").groupBy("band").agg(F.max(line).alias("hub"))
+    near = open_.join(hubs, "band").filter((F.col("root") != F.col("hub.root")) & _share(F.struct("m0", "m1"), F.col("hub")))
+    return near.select(F.least("k1", "hub.k1").alias("a"), F.greatest("k1", "hub.k1").alias("b")).distinct()
+
+
+def rest_pairs(members: DataFrame, roots: DataFrame, block: int = REST_BLOCK) -> DataFrame:
+    """All pairs of lines of different components in one band whose signatures share three fifths, found block by block."""
+    open_ = _open_bands(members, roots)
+    sizes = open_.groupBy("band").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    placed = open_.join(sizes, "band").withColumn("own", F.pmod(F.xxhash64("k1"), F.col("blocks")).cast("int"))
+    meets = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda o: F.struct(F.least(o, "own").alias("lo"), F.greatest(o, "own").alias("hi"), (F.col("own") <= o).alias("left")),
+    )
+    line = F.struct("k1", "m0", "m1", "root")
+    dealt = placed.select("band", F.explode(meets).alias("m"), line.alias("v"))
+    sides = dealt.groupBy("band", "m.lo", "m.hi").agg(
+        F.collect_list(F.when(F.col("m.left"), F.col("v"))).alias("x"), F.collect_list(F.when(~F.col("m.left") | (F.col("m.lo") == F.col("m.hi")), F.col("v"))).alias("y")
+    )
+    found = F.flatten(F.transform("x", lambda a: F.transform(F.filter("y", lambda b: (a["root"] != b["root"]) & _share(a, b)), lambda b: F.struct(F.least(a["k1"], b["k1"]).alias("a"), F.greatest(a["k1"], b["k1"]).alias("b")))))
+    return sides.select(F.explode(F.array_distinct(found)).alias("p")).select("p.a", "p.b").distinct()
+
+
 def line_texts(pairs: DataFrame, table: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(k1, norm, n, sample) of the lines in pairs, read from their first documents: the text, its number of shingles and the sampled ones.
 
@@ -225,18 +286,35 @@ def components(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "d
     scratch = Scratch(docs.sparkSession)
     table = scratch.save(line_table(docs, id_col, text_col), "lines")
     scratch.release()
-    pairs = scratch.save(candidates(table), "line-pairs")
+    shared = scratch.save(shared_bands(table), "bands")
     scratch.release()
-    texts = scratch.save(line_texts(pairs, table, docs, id_col, text_col), "line-texts")
-    scratch.release()
-    edges = scratch.save(verified(pairs, texts, similarity), "line-links")
-    scratch.drop("line-pairs", "line-texts")
+    pairs = scratch.save(candidates(table, shared=shared), "line-pairs")
     scratch.release()
+
+    def linked(pairs: DataFrame, step: str) -> DataFrame:
+        texts = scratch.save(line_texts(pairs, table, docs, id_col, text_col), f"texts-{step}")
+        scratch.release()
+        found = scratch.save(verified(pairs, texts, similarity), f"links-{step}")
+        scratch.drop(f"texts-{step}")
+        scratch.release()
+        return found
+
+    edges = linked(pairs, "near")
     parts = connected_components(edges, "lines")
+    members = scratch.save(large_bands(table, shared), "large-bands")
+    # what the search of large bands leaves over: first hubs, then all that are still apart
+    for step, meet in (("hubs", hub_pairs), ("rest", rest_pairs)):
+        parts = scratch.save(parts, f"parts-{step}")
+        more = scratch.save(meet(members, parts).join(pairs, ["a", "b"], "left_anti"), f"pairs-{step}")
+        if not more.isEmpty():
+            edges = edges.unionAll(linked(more, step))
+            parts = connected_components(edges, f"lines-{step}")
+    scratch.drop("bands", "line-pairs", "large-bands")
+    scratch.release()
     named = table.select("k1", "doc_id").join(parts, table["k1"] == parts["node"], "left").select("k1", "doc_id", F.coalesce("component", "k1").alias("component"))
     first = named.groupBy("component").agg(F.min(F.struct("doc_id", "k1"))["k1"].alias("first"))
     found = scratch.save(named.join(first, "component").select("k1", "doc_id", "component", (F.col("k1") == F.col("first")).alias("keeper")), "line-components")
-    scratch.drop("lines", "line-links")
+    scratch.drop(*[name for name in scratch.paths if name != "line-components"])
     return found
 
 
