@@ -45,20 +45,26 @@ def _moved(key: int, value: Column) -> Column:
 
 def permuted(df: DataFrame, place: str, n: str, name: str, inverse: bool = False) -> DataFrame:
     """``name``: where the keyed permutation (columns key_name(0..)) takes ``place``, or what it takes there."""
-    d = df.withColumn("__a", F.floor(F.sqrt(F.col(n).cast("double"))).cast("long")).withColumn("__b", F.floor(F.col(n) / F.col("__a")).cast("long")).withColumn("__x", F.col(place).cast("long"))
-    a, b, x, left = (F.col(c) for c in ("__a", "__b", "__x", "__l"))
-    inside = x < a * b
-    turn = lambda key: (x + F.lit(PRIME) * F.col(n) - F.col(key_name(key)) if inverse else x + F.col(key_name(key))) % F.col(n)
+    steps: list[tuple[str, Column]] = [("__a", F.floor(F.sqrt(F.col(n).cast("double"))).cast("long")), ("__b", F.floor(F.col(n) / F.col("__a")).cast("long")), ("__x", F.col(place).cast("long"))]
+    a, b, rows, now = F.col("__a"), F.col("__b"), F.col(n), "__x"
+
+    def then(kind: str, value: Column) -> Column:
+        steps.append((f"{kind}{len(steps)}", value))
+        return F.col(steps[-1][0])
+
     for k in range(PASSES)[:: -1 if inverse else 1]:
+        x, key = F.col(now), F.col(key_name(3 * k + 2))
         if inverse:
-            d = d.withColumn("__x", turn(3 * k + 2)).withColumn("__l", F.floor(x / b).cast("long"))
-            d = d.withColumn("__r", F.pmod(x % b - _moved(3 * k + 1, left), b))
-            d = d.withColumn("__x", F.when(inside, F.pmod(left - _moved(3 * k, F.col("__r")), a) * b + F.col("__r")).otherwise(x)).drop("__r")
+            x = then("__t", (x + F.lit(PRIME) * rows - key) % rows)
+            left = then("__l", F.floor(x / b).cast("long"))
+            right = then("__r", F.pmod(x % b - _moved(3 * k + 1, left), b))
+            then("__x", F.when(x < a * b, F.pmod(left - _moved(3 * k, right), a) * b + right).otherwise(x))
         else:
-            d = d.withColumn("__l", (F.floor(x / b).cast("long") + _moved(3 * k, x % b)) % a)
-            d = d.withColumn("__x", F.when(inside, left * b + (x % b + _moved(3 * k + 1, left)) % b).otherwise(x))
-            d = d.withColumn("__x", turn(3 * k + 2))
-    return d.withColumnRenamed("__x", name).drop("__a", "__b", "__l")
+            left = then("__l", (F.floor(x / b).cast("long") + _moved(3 * k, x % b)) % a)
+            then("__x", (F.when(x < a * b, left * b + (x % b + _moved(3 * k + 1, left)) % b).otherwise(x) + key) % rows)
+        now = steps[-1][0]
+    # one list of columns, each of which may use those before it
+    return df.select("*", *[value.alias(step) for step, value in steps]).select(*df.columns, F.col(now).alias(name))
 
 
 def moved_places(df: DataFrame, place: str, n: str, name: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions import sessions
@@ -22,13 +22,9 @@ KEYS = ("series_id", "contract_id")
 _PATH = W.Series(KEYS, ("event_ts",))
 
 
-def _horizons(spark: SparkSession, minutes: list[int]) -> DataFrame:
-    return F.broadcast(spark.createDataFrame([(h,) for h in minutes], "horizon int"))
-
-
 def terminals(rows: DataFrame, minutes: list[int], cols: list[str]) -> DataFrame:
     """Each row and horizon with the row of its series and contract at exactly that time: cols as terminal_*."""
-    ahead = rows.crossJoin(_horizons(rows.sparkSession, minutes))
+    ahead = rows.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in minutes])))
     ahead = ahead.withColumn("horizon_end_ts", F.col("event_ts") + F.make_dt_interval(mins=F.col("horizon")))
     other = rows.select(*[F.col(k).alias(f"__{k}") for k in KEYS], F.col("event_ts").alias("__ts"), F.col("available_ts").alias("terminal_available_ts"), *[F.col(c).alias(f"terminal_{c}") for c in cols])
     on = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"__{k}") for k in KEYS]) & (F.col("horizon_end_ts") == F.col("__ts"))

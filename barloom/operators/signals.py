@@ -116,10 +116,9 @@ def period_results(positions: DataFrame, by: list[str], ts: str, order: str, per
 
 
 def with_grid(df: DataFrame, **parameters: list[float]) -> DataFrame:
-    """Every row with every combination of the parameters (a small broadcast table)."""
+    """Every row with every combination of the parameters."""
     for name, values in sorted(parameters.items()):
-        p = df.sparkSession.createDataFrame([(float(v),) for v in values], f"{name} double")
-        df = df.crossJoin(F.broadcast(p))
+        df = df.withColumn(name, F.explode(F.array(*[F.lit(float(v)) for v in values])))
     return df
 
 
