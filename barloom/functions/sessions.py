@@ -89,10 +89,10 @@ def expand_calendar(spark: SparkSession, first: str, last: str, holidays: DataFr
     """Sessions (date, open_ts, close_ts, half_day, bars) of weekdays without holidays; half days close at noon."""
     days = spark.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("date")).filter(F.weekday("date") < 5)
     if holidays is not None:
-        days = days.join(F.broadcast(holidays.select("date")), "date", "left_anti")
+        days = days.join(holidays.select("date"), "date", "left_anti")
     half = F.lit(False)
     if half_days is not None:
-        days = days.join(F.broadcast(half_days.select("date", F.lit(True).alias("__half"))), "date", "left")
+        days = days.join(half_days.select("date", F.lit(True).alias("__half")), "date", "left")
         half = F.coalesce("__half", F.lit(False))
     at = lambda minutes: F.to_utc_timestamp(F.col("date").cast("timestamp") + F.make_dt_interval(mins=minutes), ZONE)
     close = F.when(half, 12 * 60).otherwise(RTH_CLOSE)
@@ -103,7 +103,7 @@ def sessionize(bars: DataFrame, sessions: DataFrame, bar_minutes: int, start: st
     """Adds session_id, bar_index, expected_bars and half_day; bars outside every session keep '' and -1."""
     day = sessions.select(F.col("date").alias("__date"), "open_ts", "close_ts", "half_day", (F.col("minutes") / bar_minutes).cast("long").alias("expected_bars"))
     inside = (F.to_date(local(start)) == F.col("__date")) & (F.col(start) >= F.col("open_ts")) & (F.col(end) <= F.col("close_ts"))
-    met = bars.join(F.broadcast(day), inside, "left")
+    met = bars.join(day, inside, "left")
     index = ((F.unix_timestamp(start) - F.unix_timestamp("open_ts")) / (60 * bar_minutes)).cast("int")
     return met.select(
         *[F.col(f"`{c}`") for c in bars.columns],
@@ -129,7 +129,7 @@ def align_universe(universe: DataFrame, calendar: DataFrame) -> DataFrame:
     """Active members x their calendar's dates: (instrument_id, calendar_id, date)."""
     cal = calendar.select(F.col("calendar_id").alias("__c"), "date")
     on = (F.col("calendar_id") == F.col("__c")) & (F.col("date") >= F.col("active_from")) & (F.col("date") <= F.coalesce("active_to", F.lit("9999-12-31").cast("date")))
-    return universe.join(F.broadcast(cal), on).select("instrument_id", "calendar_id", "date")
+    return universe.join(cal, on).select("instrument_id", "calendar_id", "date")
 
 
 def run_boundaries(df: DataFrame, keys: tuple[str, ...], order: str, label: str, ts: str) -> DataFrame:

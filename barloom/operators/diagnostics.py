@@ -196,7 +196,7 @@ def cross_sectional_rank(rows: DataFrame, at: str, instrument: str, value: str,
 def factor_report(obs: DataFrame, by: list[str], outlier_z: float = 3.0) -> DataFrame:
     """Coverage, missing values, outliers and spread of a factor in one pass over two aggregates."""
     base = obs.groupBy(*by).agg(F.avg(F_).alias("__m"), F.stddev_pop(F_).alias("__s"))
-    d = obs.join(F.broadcast(base), by)
+    d = obs.join(base, by)
     z = F.abs(F.try_divide(F.col(F_) - F.col("__m"), F.col("__s")))
     return d.groupBy(*by).agg(
         F.count("*").alias("rows"), F.count(F_).alias("values"), F.avg(F.col(F_).isNull().cast("int")).alias("missing_rate"), F.count_if(z > outlier_z).alias("outliers"),

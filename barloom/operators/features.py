@@ -228,7 +228,7 @@ def is_period_end_session(df, calendar: DataFrame, quarter: bool = False):
     last = calendar.groupBy(F.trunc("date", "month").alias("__m")).agg(F.max("date").alias("__last"))
     years = calendar.agg(F.min(F.year("date")).alias("__y0"), F.max(F.year("date")).alias("__y1"))
     d = df.withColumn("__d", sessions.trade_date("bar_start_ts")).crossJoin(F.broadcast(years))
-    d = d.join(F.broadcast(last), F.trunc("__d", "month") == F.col("__m"), "left")
+    d = d.join(last, F.trunc("__d", "month") == F.col("__m"), "left")
     hit = F.coalesce(F.col("__d") == F.col("__last"), F.lit(False)) & (F.month("__d").isin(3, 6, 9, 12) if quarter else F.lit(True))
     return _with(d, hit.cast("long"), ("outside_calendar", ~F.year("__d").between(F.col("__y0"), F.col("__y1")))).drop("__d", "__m", "__last", "__y0", "__y1")
 

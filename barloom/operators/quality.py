@@ -138,7 +138,7 @@ def outside_sessions(bars: DataFrame, calendar: DataFrame) -> DataFrame:
     """Adds out_of_session: no session of the calendar holds the whole bar."""
     c = calendar.select(F.col("date").alias("__d"), "open_ts", "close_ts")
     inside = (F.to_date(sessions.local("bar_start_ts")) == F.col("__d")) & (F.col("bar_start_ts") >= F.col("open_ts")) & (F.col("bar_end_ts") <= F.col("close_ts"))
-    return bars.join(F.broadcast(c), inside, "left").withColumn("out_of_session", F.col("__d").isNull()).drop("__d", "open_ts", "close_ts")
+    return bars.join(c, inside, "left").withColumn("out_of_session", F.col("__d").isNull()).drop("__d", "open_ts", "close_ts")
 
 
 def duplicate_counts(rows: DataFrame, keys: list[list[str]]) -> DataFrame:

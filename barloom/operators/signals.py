@@ -153,7 +153,7 @@ def spread_cost(half: bool = True) -> Column:
 def futures_fees(fills: DataFrame, schedule: DataFrame, version: str) -> DataFrame:
     """fee: the sum of the schedule's components (symbol, version, component, fee) for each contract; null if none."""
     s = schedule.filter(F.col("version") == version).groupBy("symbol").agg(F.sum("fee").alias("__fee"))
-    return fills.join(F.broadcast(s), "symbol", "left").withColumn("fee", F.col("__fee") * F.col("quantity")).drop("__fee")
+    return fills.join(s, "symbol", "left").withColumn("fee", F.col("__fee") * F.col("quantity")).drop("__fee")
 
 
 def composite_cost(**components: Column) -> tuple[Column, Column]:

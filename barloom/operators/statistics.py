@@ -239,7 +239,7 @@ def fit_linear(rows: DataFrame, by: list[str], features: list[str], label: str,
 def score_rows(rows: DataFrame, fit: DataFrame, by: list[str], features: list[str]) -> DataFrame:
     weights = fit.select(*by, "intercept", *[f"w_{f}" for f in features])
     s = sum((F.col(f"w_{f}") * F.col(f) for f in features), F.col("intercept"))
-    return rows.join(F.broadcast(weights), by).withColumn("score", s).drop("intercept", *[f"w_{f}" for f in features])
+    return rows.join(weights, by).withColumn("score", s).drop("intercept", *[f"w_{f}" for f in features])
 
 
 def combine_scores(first: DataFrame, *others: DataFrame) -> DataFrame:

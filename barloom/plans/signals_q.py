@@ -239,5 +239,3 @@ def halo(spark, d):
     g = W.with_halo(A.grid(spark, d), "bar_start_ts", "chunk", 12 * 3600, 86400)
     r = g.select("*", *W.rolling_mean(W.Series(("series_id", "chunk")), "close", 12).named()).filter("not in_halo")
     return out(r, "value")
-
-

@@ -25,9 +25,9 @@ def canonical_stream(trades: DataFrame, key: list[str], ts: str, lateness: str,
     return d if issues is None else d.withColumn("issues", issues).filter(F.size("issues") == 0).drop("issues")
 
 
-def bar_stream(trades: DataFrame, series: str, ts: str, price: str, size: str, width: str) -> DataFrame:
-    """Bars of a tumbling window, final once the watermark has passed their end."""
-    at = F.struct(ts, "event_id")
+def bar_stream(trades: DataFrame, series: str, ts: str, price: str, size: str, width: str, tie: str = "event_id") -> DataFrame:
+    """Bars of a tumbling window, final once the watermark has passed their end; of trades of one time ``tie`` orders."""
+    at = F.struct(ts, tie)
     bars = trades.groupBy(F.window(ts, width).alias("w"), F.col(series).alias("series_id")).agg(
         F.min_by(price, at).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, at).alias("close"), F.sum(size).alias("volume"), F.count("*").alias("trade_count")
     )
