@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.llm.common import Scratch, small_enough
+from barloom.llm.common import Scratch, input_partitions, small_enough
 from barloom.llm.components import connected_components
 
 WIDTH = 5
@@ -36,7 +36,7 @@ SIMILARITY = 0.8
 NEIGHBOURS = 8
 #: Lines of a band that one task sorts together; a larger band is dealt into blocks.
 BLOCK = 4096
-#: Lines of an open band that a task compares with each other, or with as many others.
+#: Lines of an open band that meet all of its lines at a time.
 REST_BLOCK = 256
 #: Characters that start the shingles which come first, and second, in the order of signatures; then all others.
 _TIERS = (r"[bgkpvwxyz0-9\x{80}-\x{10ffff}]", "[acdflmu]", r"[^abcdfgklmpuvwxyz0-9\x{80}-\x{10ffff}]")
@@ -216,21 +216,23 @@ def hub_pairs(members: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def rest_pairs(members: DataFrame, roots: DataFrame, block: int = REST_BLOCK) -> DataFrame:
-    """All pairs of lines of different components in one band whose signatures share three fifths, found block by block."""
+    """All pairs of lines of different components in one band whose signatures share three fifths.
+
+    A band's lines are dealt into blocks, and each block meets all of the
+    band's lines in an equi-join, whose condition keeps what qualifies.
+    """
     open_ = _open_bands(members, roots)
     sizes = open_.groupBy("band").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    placed = open_.join(sizes, "band").withColumn("own", F.pmod(F.xxhash64("k1"), F.col("blocks")).cast("int"))
-    meets = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda o: F.struct(F.least(o, "own").alias("lo"), F.greatest(o, "own").alias("hi"), (F.col("own") <= o).alias("left")),
-    )
-    line = F.struct("k1", "m0", "m1", "root")
-    dealt = placed.select("band", F.explode(meets).alias("m"), line.alias("v"))
-    sides = dealt.groupBy("band", "m.lo", "m.hi").agg(
-        F.collect_list(F.when(F.col("m.left"), F.col("v"))).alias("x"), F.collect_list(F.when(~F.col("m.left") | (F.col("m.lo") == F.col("m.hi")), F.col("v"))).alias("y")
-    )
-    found = F.flatten(F.transform("x", lambda a: F.transform(F.filter("y", lambda b: (a["root"] != b["root"]) & _share(a, b)), lambda b: F.struct(F.least(a["k1"], b["k1"]).alias("a"), F.greatest(a["k1"], b["k1"]).alias("b")))))
-    return sides.select(F.explode(F.array_distinct(found)).alias("p")).select("p.a", "p.b").distinct()
+    sized = open_.join(sizes, "band")
+    # tasks are dealt by number, as these few bytes are much work
+    tasks = input_partitions(members.sparkSession)
+    x = sized.select("band", F.pmod(F.xxhash64("k1"), F.col("blocks")).cast("int").alias("part"), *[F.col(c).alias(f"x_{c}") for c in ("k1", "m0", "m1", "root")]).repartition(tasks, "band", "part")
+    y = sized.select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), "k1", "m0", "m1", "root").repartition(tasks, "band", "part")
+    shares = lambda a, b: F.bit_count(a) + F.bit_count(b)
+    both = shares(F.col("x_m0").bitwiseAND(F.col("m0")), F.col("x_m1").bitwiseAND(F.col("m1")))
+    alike = 5 * both >= 3 * F.least(shares(F.col("x_m0"), F.col("x_m1")), shares(F.col("m0"), F.col("m1")))
+    near = (x["band"] == y["band"]) & (x["part"] == y["part"]) & (F.col("x_k1") < F.col("k1")) & (F.col("x_root") != F.col("root")) & alike
+    return x.join(y, near).select(F.col("x_k1").alias("a"), F.col("k1").alias("b")).distinct()
 
 
 def line_texts(pairs: DataFrame, table: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
