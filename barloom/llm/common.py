@@ -14,9 +14,11 @@ BROADCAST_BYTES = 4 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The shared folder named by spark.checkpoint.dir; where it is unset, a temporary one on a single machine, else an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
         root = "file://" + tempfile.mkdtemp(prefix="barloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
