@@ -293,15 +293,22 @@ def components(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "d
     pairs = scratch.save(candidates(table, shared=shared), "line-pairs")
     scratch.release()
 
+    texts = scratch.save(line_texts(pairs, table, docs, id_col, text_col), "texts")
+    scratch.release()
+
     def linked(pairs: DataFrame, step: str) -> DataFrame:
-        texts = scratch.save(line_texts(pairs, table, docs, id_col, text_col), f"texts-{step}")
-        scratch.release()
-        found = scratch.save(verified(pairs, texts, similarity), f"links-{step}")
-        scratch.drop(f"texts-{step}")
+        """The verified pairs; lines that met none before are the only ones whose texts are read for it."""
+        lines = pairs.select(F.explode(F.array("a", "b")).alias("k1")).distinct()
+        new = scratch.save(lines.join(texts.select("k1"), "k1", "left_anti"), f"new-{step}")
+        known = texts
+        if not new.isEmpty():
+            known = texts.unionAll(scratch.save(line_texts(new.select(F.col("k1").alias("a"), F.col("k1").alias("b")), table, docs, id_col, text_col), f"texts-{step}"))
+        found = scratch.save(verified(pairs, known, similarity), f"links-{step}")
         scratch.release()
         return found
 
-    edges = linked(pairs, "near")
+    edges = scratch.save(verified(pairs, texts, similarity), "links-near")
+    scratch.release()
     parts = connected_components(edges, "lines")
     members = scratch.save(large_bands(table, shared), "large-bands")
     # what the search of large bands leaves over: first hubs, then all that are still apart
