@@ -150,6 +150,14 @@ def adverse_selection(obs: DataFrame, by: list[str]) -> DataFrame:
     return obs.filter("f is not null and y is not null").groupBy(*by).agg((-F.avg(side * F.col(Y))).alias("adverse_selection"))
 
 
+def execution_summary(obs: DataFrame, by: list[str], fields: list[str]) -> DataFrame:
+    """Adverse selection and the correlation of each field with the return, as rows (by, measure, value) from one aggregation."""
+    side = F.when(F.col(F_) >= 0, 1).when(F.col(F_).isNotNull(), -1)
+    measures = {"adverse_selection": -F.avg(side * F.col(Y))} | {x: pearson(x, Y) for x in fields}
+    wide = obs.groupBy(*by).agg(F.array(*[F.struct(F.lit(n).alias("measure"), v.alias("value")) for n, v in measures.items()]).alias("__measures"))
+    return wide.select(*by, F.inline("__measures"))
+
+
 def management_summary(obs: DataFrame, by: list[str]) -> DataFrame:
     """Target-first probability, mean steps to either, and what breakeven and trailing stops could have kept."""
     t = F.col("tbs")

@@ -92,13 +92,7 @@ _q("d25d_regime_stability", lambda o: D.stability(o, BY, F.col("regime"), "bucke
 
 @query("d23b_execution_filter_summary", f"WITH {OBS} SELECT horizon_seconds, 'adverse_selection' AS measure, round(-avg(CASE WHEN f >= 0 THEN 1 ELSE -1 END * y) FILTER (f IS NOT NULL), 6) AS value FROM obs GROUP BY 1 " + "".join(f" UNION ALL SELECT horizon_seconds, '{f}', {corr_sql(f, 'y')} FROM obs GROUP BY 1" for f in ("spread", "liquidity", "slippage", "participation")))
 def d23b(spark, d):
-    o = observations(spark, d)
-    by = ["horizon_seconds"]
-    parts = [D.sensitivity(o, by, f, 3, ["series_id", "t"]).select(*by, F.lit(f).alias("measure"), F.col("correlation").alias("value")) for f in ("spread", "liquidity", "slippage", "participation")]
-    out = D.adverse_selection(o, by).select(*by, F.lit("adverse_selection").alias("measure"), F.col("adverse_selection").alias("value"))
-    for p in parts:
-        out = out.unionByName(p)
-    return fixed(out)
+    return fixed(D.execution_summary(observations(spark, d), ["horizon_seconds"], ["spread", "liquidity", "slippage", "participation"]))
 
 
 _FC = f"{OBS}, fl AS (SELECT t, series_id, fv AS v, 'return' AS factor FROM nb WHERE fv IS NOT NULL UNION ALL SELECT t, series_id, volume, 'volume' FROM nb UNION ALL SELECT t, series_id, high - low, 'range' FROM nb), pr AS (SELECT a.factor AS factor_a, b.factor AS factor_b, a.v AS f, b.v AS y FROM fl a JOIN fl b USING (series_id, t) WHERE a.factor < b.factor), pk AS (SELECT *, rank() OVER (PARTITION BY factor_a, factor_b ORDER BY f) + (count(*) OVER (PARTITION BY factor_a, factor_b, f) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY factor_a, factor_b ORDER BY y) + (count(*) OVER (PARTITION BY factor_a, factor_b, y) - 1) / 2.0 AS ry FROM pr)"
