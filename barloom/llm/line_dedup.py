@@ -14,7 +14,9 @@ ones near lines stand next to each other, as they share what follows.  Bands
 of over ``BLOCK`` lines are dealt into blocks by the line's hash, anew for each
 band.  What this leaves over in bands that still hold several components is
 searched after it: each such band's hub meets the lines of other components,
-and then all lines of different components meet, block by block.  Pairs whose signatures share three fifths of their values, whose sets have sizes
+and then all lines of different components meet, block by block.  There a pair
+becomes a row only if the parity sketches of its lines allow the similarity, a
+test that loses none.  Pairs whose signatures share three fifths of their values, whose sets have sizes
 for the similarity and whose samples of an eighth do not rule it out are verified by the
 exact Jaccard similarity of all shingles; connected components keep one line.
 """
@@ -37,7 +39,9 @@ NEIGHBOURS = 8
 #: Lines of a band that one task sorts together; a larger band is dealt into blocks.
 BLOCK = 4096
 #: Lines of an open band that meet all of its lines at a time.
-REST_BLOCK = 256
+REST_BLOCK = 2048
+#: Longs of a line's parity sketch.
+PARITY = 8
 #: Characters that start the shingles which come first, and second, in the order of signatures; then all others.
 _TIERS = (r"[bgkpvwxyz0-9\x{80}-\x{10ffff}]", "[acdflmu]", r"[^abcdfgklmpuvwxyz0-9\x{80}-\x{10ffff}]")
 _PACKED = [f"p{k}" for k in range(SKETCH // 2)]
@@ -198,45 +202,77 @@ def large_bands(table: DataFrame, shared: DataFrame, neighbours: int = NEIGHBOUR
     return _banded(table).join(large, "band", "left_semi").select("band", "k1", "m0", "m1").distinct()
 
 
-def _open_bands(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members (band, k1, m0, m1) with the root of their component, of bands that hold several components."""
-    rooted = members.join(roots, members["k1"] == roots["node"], "left").select("band", "k1", "m0", "m1", F.coalesce("component", "k1").alias("root"))
+def _parity(found: str) -> Column:
+    """The parity sketch of a column of sets: each shingle flips one of 64 * PARITY bits.
+
+    Two sketches differ in no more bits than the sets in shingles, as common shingles flip the same bits.
+    """
+    return F.struct(*[F.expr(f"aggregate(filter({found}, h -> (h & {(PARITY - 1) << 6}) = {w << 6}), 0L, (a, h) -> a ^ shiftleft(1L, h & 63))").alias(f"q{w}") for w in range(PARITY)])
+
+
+def _near(x, y, similarity: float) -> Column:
+    """Whether set sizes and parity sketches (n, q) allow the similarity: |x ^ y| <= (|x| + |y|) (1 - t) / (1 + t) where it is t or more."""
+    differ = F.lit(0)
+    for w in range(PARITY):
+        differ = differ + F.bit_count(x["q"][f"q{w}"].bitwiseXOR(y["q"][f"q{w}"]))
+    sizes = F.least(x["n"], y["n"]) >= (similarity - _ROUNDING) * F.greatest(x["n"], y["n"])
+    return sizes & (differ <= (x["n"] + y["n"]) * ((1 - similarity) / (1 + similarity) + _ROUNDING))
+
+
+def open_bands(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of bands that hold several components, with the root of their own."""
+    kept = [c for c in members.columns if c != "root"]
+    rooted = members.join(roots, members["k1"] == roots["node"], "left").select(*kept, F.coalesce("component", "k1").alias("root"))
     mixed = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band")
     return rooted.join(mixed, "band", "left_semi")
 
 
-def hub_pairs(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of each open band's hub, the line in most large bands, with the lines of other components: linear in the lines."""
-    open_ = _open_bands(members, roots)
-    met = members.groupBy("k1").agg(F.count("*").alias("met"))
-    line = F.struct("met", "k1", "m0", "m1", "root")
-    hubs = open_.join(met, "k1").groupBy("band").agg(F.max(line).alias("hub"))
-    near = open_.join(hubs, "band").filter((F.col("root") != F.col("hub.root")) & _share(F.struct("m0", "m1"), F.col("hub")))
-    return near.select(F.least("k1", "hub.k1").alias("a"), F.greatest("k1", "hub.k1").alias("b")).distinct()
+def hub_pairs(open_: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs of each open band's hub, the line in most of them, with the lines of other components: linear in the lines.
 
+    ``open_`` is as of ``open_bands``, with the lines' sketches (n, q).
+    """
+    met = open_.groupBy("k1").agg(F.count("*").alias("met"))
+    hubs = open_.join(met, "k1").groupBy("band").agg(F.max(F.struct("met", "k1", "m0", "m1", "root", "n", "q")).alias("hub"))
+    own = F.struct("m0", "m1", "n", "q")
+    near = open_.join(hubs, "band").filter((F.col("root") != F.col("hub.root")) & _share(own, F.col("hub")) & _near(own, F.col("hub"), similarity))
+    return near.select(F.least("k1", "hub.k1").alias("a"), F.greatest("k1", "hub.k1").alias("b")).distinct()
 
-def rest_pairs(members: DataFrame, roots: DataFrame, block: int = REST_BLOCK) -> DataFrame:
-    """All pairs of lines of different components in one band whose signatures share three fifths.
 
-    A band's lines are dealt into blocks, and each block meets all of the
-    band's lines in an equi-join, whose condition keeps what qualifies.
-    """
-    open_ = _open_bands(members, roots)
+def _blocks(open_: DataFrame, line: list[str], block: int) -> tuple[DataFrame, DataFrame]:
+    """A band's lines dealt into blocks (band, part, x), and all of its lines for each block (band, part, y)."""
     sizes = open_.groupBy("band").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     sized = open_.join(sizes, "band")
     # tasks are dealt by number, as these few bytes are much work
-    tasks = input_partitions(members.sparkSession)
-    x = sized.select("band", F.pmod(F.xxhash64("k1"), F.col("blocks")).cast("int").alias("part"), *[F.col(c).alias(f"x_{c}") for c in ("k1", "m0", "m1", "root")]).repartition(tasks, "band", "part")
-    y = sized.select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), "k1", "m0", "m1", "root").repartition(tasks, "band", "part")
-    shares = lambda a, b: F.bit_count(a) + F.bit_count(b)
-    both = shares(F.col("x_m0").bitwiseAND(F.col("m0")), F.col("x_m1").bitwiseAND(F.col("m1")))
-    alike = 5 * both >= 3 * F.least(shares(F.col("x_m0"), F.col("x_m1")), shares(F.col("m0"), F.col("m1")))
-    near = (x["band"] == y["band"]) & (x["part"] == y["part"]) & (F.col("x_k1") < F.col("k1")) & (F.col("x_root") != F.col("root")) & alike
-    return x.join(y, near).select(F.col("x_k1").alias("a"), F.col("k1").alias("b")).distinct()
+    tasks = input_partitions(open_.sparkSession)
+    x = sized.select("band", F.pmod(F.xxhash64("k1"), F.col("blocks")).cast("int").alias("part"), F.struct(*line).alias("x")).repartition(tasks, "band", "part")
+    y = sized.select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), F.struct(*line).alias("y")).repartition(tasks, "band", "part")
+    return x.hint("merge"), y
+
+
+def with_partner(open_: DataFrame, block: int = REST_BLOCK) -> DataFrame:
+    """The members of open bands that have a line of another component there with which their signature shares three fifths."""
+    x, y = _blocks(open_, ["k1", "root", "m0", "m1"], block)
+    own, other = F.col("y"), F.col("x")
+    meets = (x["band"] == y["band"]) & (x["part"] == y["part"]) & (own["root"] != other["root"]) & _share(own, other)
+    return y.join(x, meets, "left_semi").select("band", "y.*").distinct()
+
+
+def rest_pairs(open_: DataFrame, similarity: float = SIMILARITY, block: int = REST_BLOCK) -> DataFrame:
+    """All pairs of lines of different components in one band whose signatures share three fifths and whose sketches allow the similarity.
+
+    A band's lines are dealt into blocks, and each block meets all of the
+    band's lines in an equi-join, whose condition keeps what qualifies.  So the
+    comparisons are quadratic in the lines of open bands, but not the rows.
+    """
+    x, y = _blocks(open_, ["k1", "root", "m0", "m1", "n", "q"], block)
+    a, b = F.col("x"), F.col("y")
+    near = (x["band"] == y["band"]) & (x["part"] == y["part"]) & (a["k1"] < b["k1"]) & (a["root"] != b["root"]) & _share(a, b) & _near(a, b, similarity)
+    return y.join(x, near).select(F.col("x.k1").alias("a"), F.col("y.k1").alias("b")).distinct()
 
 
 def line_texts(pairs: DataFrame, table: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(k1, norm, n, sample) of the lines in pairs, read from their first documents: the text, its number of shingles and the sampled ones.
+    """(k1, norm, n, sample, q) of the lines in pairs, read from their first documents: the text, its number of shingles, the sampled ones and their parity sketch.
 
     The lists of wanted lines and documents are broadcast where their counted
     size is small, so that only wanted lines leave their tasks; else they join.
@@ -251,7 +287,7 @@ def line_texts(pairs: DataFrame, table: DataFrame, docs: DataFrame, id_col: str
     own = _lines(texts, "doc_id", "text").select("k1", "norm").join(wanted, "k1", "left_semi").dropDuplicates(["k1"])
     # the generator has the set made once
     sets = own.select("k1", "norm", F.explode(F.array(shingles(F.col("norm")))).alias("set"))
-    return sets.select("k1", "norm", F.size("set").alias("n"), F.filter("set", lambda h: F.pmod(h, F.lit(SAMPLED)) == 0).alias("sample"))
+    return sets.select("k1", "norm", F.size("set").alias("n"), F.filter("set", lambda h: F.pmod(h, F.lit(SAMPLED)) == 0).alias("sample"), _parity("set").alias("q"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -296,29 +332,27 @@ def components(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "d
     texts = scratch.save(line_texts(pairs, table, docs, id_col, text_col), "texts")
     scratch.release()
 
-    def linked(pairs: DataFrame, step: str) -> DataFrame:
-        """The verified pairs; lines that met none before are the only ones whose texts are read for it."""
-        lines = pairs.select(F.explode(F.array("a", "b")).alias("k1")).distinct()
-        new = scratch.save(lines.join(texts.select("k1"), "k1", "left_anti"), f"new-{step}")
-        known = texts
-        if not new.isEmpty():
-            known = texts.unionAll(scratch.save(line_texts(new.select(F.col("k1").alias("a"), F.col("k1").alias("b")), table, docs, id_col, text_col), f"texts-{step}"))
-        found = scratch.save(verified(pairs, known, similarity), f"links-{step}")
-        scratch.release()
-        return found
-
     edges = scratch.save(verified(pairs, texts, similarity), "links-near")
     scratch.release()
-    parts = connected_components(edges, "lines")
-    members = scratch.save(large_bands(table, shared), "large-bands")
+    parts = scratch.save(connected_components(edges, "lines"), "parts-near")
     # what the search of large bands leaves over: first hubs, then all that are still apart
+    members = scratch.save(with_partner(open_bands(large_bands(table, shared), parts)), "open-bands")
+    scratch.drop("bands")
+    lines = scratch.save(members.select("k1").distinct(), "open-lines")
+    scratch.release()
+    new = lines.join(texts.select("k1"), "k1", "left_anti")
+    more_texts = scratch.save(line_texts(new.select(F.col("k1").alias("a"), F.col("k1").alias("b")), table, docs, id_col, text_col), "texts-open")
+    scratch.release()
+    texts = texts.unionAll(more_texts)
     for step, meet in (("hubs", hub_pairs), ("rest", rest_pairs)):
-        parts = scratch.save(parts, f"parts-{step}")
-        more = scratch.save(meet(members, parts).join(pairs, ["a", "b"], "left_anti"), f"pairs-{step}")
+        met = meet(open_bands(members, parts).join(texts.select("k1", "n", "q"), "k1"), similarity)
+        more = scratch.save(met.join(pairs, ["a", "b"], "left_anti"), f"pairs-{step}")
+        scratch.release()
         if not more.isEmpty():
-            edges = edges.unionAll(linked(more, step))
-            parts = connected_components(edges, f"lines-{step}")
-    scratch.drop("bands", "line-pairs", "large-bands")
+            edges = edges.unionAll(scratch.save(verified(more, texts, similarity), f"links-{step}"))
+            scratch.release()
+            parts = scratch.save(connected_components(edges, f"lines-{step}"), f"parts-{step}")
+    scratch.drop("line-pairs", "open-bands", "texts", "texts-open")
     scratch.release()
     named = table.select("k1", "doc_id").join(parts, table["k1"] == parts["node"], "left").select("k1", "doc_id", F.coalesce("component", "k1").alias("component"))
     first = named.groupBy("component").agg(F.min(F.struct("doc_id", "k1"))["k1"].alias("first"))
