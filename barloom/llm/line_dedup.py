@@ -5,19 +5,27 @@ meet by a 64-bit hash first, which names the line from then on.  A line's
 shingles are its runs of ``WIDTH`` characters at every position.
 Its signature is the ``SKETCH`` least of all of them in one order for all
 lines (k minimum values): first those that start with a rare character, by
-their hashes, so that only lines with few of these need the others hashed.  A band is a run of ``ROWS`` neighbours of the signature.
-
-Each band is searched in work linear in its lines: sorted by the values that
-follow the band, a line meets its ``NEIGHBOURS`` predecessors and the first line.
+their hashes, so that only lines with few of these need the others hashed.
+
+A band is a window of the sorted ranks: ``BANDS`` fixed marks are sorted in
+among a line's ranks, and each mark's band is the ``RUN`` entries that follow
+it, marks included, so lines of few shingles have windows of fewer of them.
+Windows of so many shingles tell lines of a small vocabulary apart, so the
+lines in shared bands grow with the near copies, not with the square of the lines.
+The marks lie among the rare shingles where a line has enough of these, else
+among those of two tiers or all; lines near a limit have both kinds.  Lines of
+under ``SKETCH`` shingles have runs of their signature as bands.
+
+Each band is searched in work linear in its lines: sorted by two values of the
+signature, a line meets its ``NEIGHBOURS`` predecessors and the first line.
 So bands of up to ``NEIGHBOURS`` + 1 lines are searched whole, and in larger
-ones near lines stand next to each other, as they share what follows.  Bands
+ones near lines stand next to each other, as they share values.  Bands
 of over ``BLOCK`` lines are dealt into blocks by the line's hash, anew for each
 band.  What this leaves over in bands that still hold several components is
 searched after it: each such band's hub meets the lines of other components,
 and then all lines of different components meet, block by block.  There a pair
 becomes a row only if the parity sketches of its lines allow the similarity, a
-test that loses none.  Pairs whose signatures share three fifths of their values, whose sets have sizes
-for the similarity and whose samples of an eighth do not rule it out are verified by the
+test that loses none.  Pairs whose signatures share three fifths of their values are verified by the
 exact Jaccard similarity of all shingles; connected components keep one line.
 """
 
@@ -32,6 +40,13 @@ from barloom.llm.components import connected_components
 
 WIDTH = 5
 SKETCH = 10
+#: Marks among a line's ranks, and entries that make the band of a mark.
+BANDS = 10
+RUN = 6
+#: Ranks that a kind of band needs, and under which a line has the next kind too; lines that share four fifths of their shingles so have one in common.
+ENOUGH, FEW = 16, 24
+#: Shingles from which on a line has windows as bands; with under SKETCH it has runs of ROWS too.
+LEAST = 8
 ROWS = 3
 SIMILARITY = 0.8
 #: Lines before its own that a line is compared with in each band.
@@ -45,14 +60,11 @@ PARITY = 8
 #: Characters that start the shingles which come first, and second, in the order of signatures; then all others.
 _TIERS = (r"[bgkpvwxyz0-9\x{80}-\x{10ffff}]", "[acdflmu]", r"[^abcdfgklmpuvwxyz0-9\x{80}-\x{10ffff}]")
 _PACKED = [f"p{k}" for k in range(SKETCH // 2)]
+_BANDS = [f"b{k}" for k in range(2 * BANDS)]
 #: Places of a piece of a line whose shingles are found in it.
 _STEP = 16
 #: Pieces within one line: those places, and what follows them in the last shingle.
 _PIECES = "(?=([^\\n]{1,%d}))[^\\n]{1,%d}" % (_STEP + WIDTH - 1, _STEP)
-#: One in so many of a line's shingles, chosen by hash, is in its sample.
-SAMPLED = 8
-#: Standard deviations by which a sample may miss the similarity before its pair is dropped.
-DEVIATIONS = 4.0
 #: Keeps pairs of exactly the similarity, whatever the rounding of the products.
 _ROUNDING = 1e-9
 #: What stands in a packed signature where a line has fewer values.
@@ -99,25 +111,59 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return norms.filter("norm <> ''").select("doc_id", F.xxhash64("norm").alias("k1"), "norm")
 
 
+def _marks(kind: int) -> list[int]:
+    """The marks of a kind of band, dealt over the ranks of the first ``kind`` + 1 tiers."""
+    shares = ((BANDS,), (BANDS // 2, BANDS - BANDS // 2), (BANDS // 5, (BANDS - BANDS // 5) // 2, BANDS - BANDS // 5 - (BANDS - BANDS // 5) // 2))[kind]
+    return [(tier << 29) + (k << 29) // share for tier, share in enumerate(shares) for k in range(share)]
+
+
+def _windows(signed: DataFrame) -> DataFrame:
+    """Adds b0.. to (r0, r1, r2, n0, n1, n2), the ranks of each tier and their numbers so far: the bands of the line's kind, then those of the next kind or nulls."""
+    n0, n1, n2 = (F.col(f"n{k}") for k in range(3))
+    own = F.when(n0 >= ENOUGH, 0).when(n1 >= ENOUGH, 1).when(n2 >= LEAST, 2)
+    more = F.when((n0 >= ENOUGH) & (n0 < FEW), 1).when((n0 < ENOUGH) & (n1 >= ENOUGH) & (n1 < FEW), 2)
+
+    def row(kind: str) -> Column:
+        entries = [F.sort_array(F.concat(*[f"r{t}" for t in range(k + 1)], F.array(*[F.lit(m) for m in _marks(k)]))) for k in range(3)]
+        return F.when(F.col(kind) == 0, entries[0]).when(F.col(kind) == 1, entries[1]).when(F.col(kind) == 2, entries[2])
+
+    kept = [c for c in signed.columns if c not in ("r0", "r1", "r2", "n0", "n1", "n2")]
+    def windows(kind: str, entries: str) -> Column:
+        marks = [F.array(*[F.lit(m) for m in _marks(k)]) for k in range(3)]
+        dealt = F.when(F.col(kind) == 0, marks[0]).when(F.col(kind) == 1, marks[1]).when(F.col(kind) == 2, marks[2])
+        # a function over the marks, as code for each of them would be too long to be compiled
+        return F.transform(dealt, lambda m, k: F.xxhash64(F.col(kind), k, F.slice(entries, F.array_position(entries, m).cast("int") + 1, RUN)))
+
+    rows = signed.select("*", own.alias("own"), more.alias("more")).select(*kept, "own", "more", row("own").alias("x"), row("more").alias("y"))
+    # the row goes on from its start, so the last marks have whole windows
+    round_ = rows.select(*kept, "own", "more", *[F.concat(c, F.slice(c, 1, RUN)).alias(c) for c in ("x", "y")])
+    bands = round_.select(*kept, windows("own", "x").alias("x"), windows("more", "y").alias("y"))
+    return bands.select(*kept, *[F.get(c, F.lit(k)).alias(f"b{k + at}") for c, at in (("x", 0), ("y", BANDS)) for k in range(BANDS)])
+
+
 def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each distinct normalised line: k1, doc_id (the smallest), p0.. (the signature, two values in a long).
+    """One row for each distinct normalised line: k1, doc_id (the smallest), p0.. (the signature, two values in a long) and b0.. (bands).
 
     The signature is the SKETCH least ranks of all the line's shingles.  Those
     of a later tier are ranked only where the tiers before have too few.  A
     line with fewer shingles has all of them.
     """
     own = _lines(docs, id_col, text_col)
+    none, size = F.array().cast("array<int>"), F.lit(0)
     for tier, start in enumerate(_TIERS):
         found = _ranks(_starting(F.col("norm"), start), tier)
         if tier == 2:
             found = F.when(F.char_length("norm") < WIDTH, _ranks(F.array("norm"), tier)).otherwise(found)
-        more = found if tier == 0 else F.when(F.size("ranks") >= SKETCH, F.col("ranks")).otherwise(F.concat("ranks", found))
-        own = own.select("doc_id", "k1", "norm", more.alias("ranks"))
-    signed = own.select("doc_id", "k1", F.slice(F.sort_array("ranks"), 1, SKETCH).alias("s"))
+        own = own.select("*", (found if tier == 0 else F.when(size < FEW, found).otherwise(none)).alias(f"r{tier}"))
+        size = size + F.size(f"r{tier}")
+        own = own.select("*", size.alias(f"n{tier}"))
+        size = F.col(f"n{tier}")
+    least = F.slice(F.sort_array(F.concat("r0", "r1", "r2")), 1, SKETCH)
+    signed = _windows(own.select("doc_id", "k1", "r0", "r1", "r2", "n0", "n1", "n2", least.alias("s")))
     value = lambda k: F.coalesce(F.get("s", F.lit(k)), F.lit(_NONE)).cast("long")
     packed = [F.shiftleft(value(2 * k), 32).bitwiseOR(value(2 * k + 1)).alias(p) for k, p in enumerate(_PACKED)]
-    flat = signed.select("doc_id", "k1", *packed)
-    return flat.groupBy("k1").agg(F.min("doc_id").alias("doc_id"), *[F.min(p).alias(p) for p in _PACKED])
+    flat = signed.select("doc_id", "k1", *packed, *_BANDS)
+    return flat.groupBy("k1").agg(F.min("doc_id").alias("doc_id"), *[F.min(p).alias(p) for p in (*_PACKED, *_BANDS)])
 
 
 def _unpacked(table: DataFrame) -> DataFrame:
@@ -135,24 +181,24 @@ def _unpacked(table: DataFrame) -> DataFrame:
 
 
 def _banded(table: DataFrame) -> DataFrame:
-    """k1, m0, m1, band and rest: a hash of neighbouring values, and the two values that follow them, or else stand before them.
+    """k1 and band: the line's windows, and in lines of under SKETCH shingles hashes of neighbouring values.
 
-    Runs of ROWS; of two as well in signatures too small for those to survive
+    Those are runs of ROWS; of two as well in signatures too small for those to survive
     a differing shingle, and the whole signature where it is smaller still.
     """
+    windows = table.select("k1", F.explode(F.array(*_BANDS)).alias("band")).filter("band is not null")
     n = F.col("n")
     runs = F.transform(F.sequence(F.lit(0), n - ROWS), lambda k: F.struct(k.alias("at"), F.lit(ROWS).alias("rows")))
     pairs = F.transform(F.sequence(F.lit(0), n - 2), lambda k: F.struct(k.alias("at"), F.lit(2).alias("rows")))
     one = F.array(F.struct(F.lit(0).alias("at"), F.lit(1).alias("rows")))
     places = F.when(n >= 8, runs).when(n >= ROWS, F.concat(runs, pairs)).when(n == 2, pairs).otherwise(one)
-    dealt = _unpacked(table).select("k1", "m0", "m1", "s", "n", F.inline(places))
+    # the last value is there only in lines of SKETCH shingles and more
+    short = table.filter(F.col(_PACKED[-1]).bitwiseAND(F.lit(_NONE)) == _NONE)
+    dealt = _unpacked(short).select("k1", "s", F.inline(places))
     value = lambda k: F.get("s", k)
-    at, after = F.col("at"), F.col("at") + F.col("rows")
-    other = lambda j: F.when(j > 0, value(j - 1)).otherwise(0)
-    follow = F.when(after < n, value(after)).otherwise(other(at))
-    then = F.when(after + 1 < n, value(after + 1)).when(after < n, other(at)).otherwise(other(at - 1))
+    at = F.col("at")
     band = F.xxhash64("rows", value(at), F.when(F.col("rows") > 1, value(at + 1)), F.when(F.col("rows") > 2, value(at + 2)))
-    return dealt.select("k1", "m0", "m1", band.alias("band"), F.shiftleft(follow, 32).bitwiseOR(then).alias("rest"))
+    return windows.unionAll(dealt.select("k1", band.alias("band")))
 
 
 def shared_bands(table: DataFrame) -> DataFrame:
@@ -160,7 +206,17 @@ def shared_bands(table: DataFrame) -> DataFrame:
     return _banded(table).groupBy("band").agg(F.count("*").alias("lines")).filter("lines > 1")
 
 
-def candidates(table: DataFrame, neighbours: int = NEIGHBOURS, block: int = BLOCK, *, shared: DataFrame | None = None) -> DataFrame:
+def band_members(table: DataFrame, shared: DataFrame | None = None) -> DataFrame:
+    """(band, lines, rest, k1, m0, m1) of the lines in shared bands: rest are two values of the signature, the same two for all lines of a band."""
+    shared = shared_bands(table) if shared is None else shared
+    shared = F.broadcast(shared) if small_enough(shared, 16) else shared.hint("shuffle_hash")
+    own = _banded(table).join(shared, "band")
+    sketches = _unpacked(table).select("k1", "s", "m0", "m1")
+    two = F.pmod("band", F.lit(SKETCH // 2)).cast("int") * 2
+    return own.join(sketches, "k1").select("band", "lines", F.shiftleft(F.get("s", two), 32).bitwiseOR(F.get("s", two + 1)).alias("rest"), "k1", "m0", "m1")
+
+
+def candidates(table: DataFrame, neighbours: int = NEIGHBOURS, block: int = BLOCK, *, members: DataFrame | None = None) -> DataFrame:
     """Distinct pairs (a, b), a < b, of lines that meet in a band and whose signatures share three fifths of their values.
 
     Bands of up to ``neighbours`` + 1 lines are searched whole, larger ones in
@@ -170,9 +226,8 @@ def candidates(table: DataFrame, neighbours: int = NEIGHBOURS, block: int = BLOC
     so the second test misses about 0.5 % there (a binomial of SKETCH draws), less
     above.  It counts values in sets of 128 bits, where few fall together.
     """
-    banded = _banded(table)
-    shared = shared_bands(table) if shared is None else shared
-    members = banded.join(shared.hint("shuffle_hash"), "band").select("band", "rest", "k1", "m0", "m1", F.when(F.col("lines") > block, F.pmod(F.xxhash64("k1", "band"), F.ceil(F.col("lines") / block))).otherwise(0).alias("block"))
+    members = band_members(table) if members is None else members
+    members = members.select("band", "rest", "k1", "m0", "m1", F.when(F.col("lines") > block, F.pmod(F.xxhash64("k1", "band"), F.ceil(F.col("lines") / block))).otherwise(0).alias("block"))
     order = Window.partitionBy("band", "block").orderBy("rest", "k1")
     earlier = {j: [F.lag(c, j).over(order).alias(f"{c}_{j}") for c in ("k1", "m0", "m1")] for j in range(1, neighbours + 1)}
     earlier[0] = [F.first(c).over(order).alias(f"{c}_0") for c in ("k1", "m0", "m1")]
@@ -195,11 +250,9 @@ def _share(x, y) -> Column:
     return 5 * both >= 3 * F.least(size(x["m0"], x["m1"]), size(y["m0"], y["m1"]))
 
 
-def large_bands(table: DataFrame, shared: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
+def large_bands(members: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
     """(band, k1, m0, m1) of the bands that ``candidates`` does not search whole."""
-    large = shared.filter(F.col("lines") > neighbours + 1).select("band")
-    large = F.broadcast(large) if small_enough(large, 16) else large
-    return _banded(table).join(large, "band", "left_semi").select("band", "k1", "m0", "m1").distinct()
+    return members.filter(F.col("lines") > neighbours + 1).select("band", "k1", "m0", "m1").distinct()
 
 
 def _parity(found: str) -> Column:
@@ -272,7 +325,7 @@ def rest_pairs(open_: DataFrame, similarity: float = SIMILARITY, block: int = RE
 
 
 def line_texts(pairs: DataFrame, table: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(k1, norm, n, sample, q) of the lines in pairs, read from their first documents: the text, its number of shingles, the sampled ones and their parity sketch.
+    """(k1, n, set, q) of the lines in pairs, read from their first documents: the number of shingles, their hashes and the parity sketch.
 
     The lists of wanted lines and documents are broadcast where their counted
     size is small, so that only wanted lines leave their tasks; else they join.
@@ -286,33 +339,17 @@ def line_texts(pairs: DataFrame, table: DataFrame, docs: DataFrame, id_col: str
         wanted = F.broadcast(wanted)
     own = _lines(texts, "doc_id", "text").select("k1", "norm").join(wanted, "k1", "left_semi").dropDuplicates(["k1"])
     # the generator has the set made once
-    sets = own.select("k1", "norm", F.explode(F.array(shingles(F.col("norm")))).alias("set"))
-    return sets.select("k1", "norm", F.size("set").alias("n"), F.filter("set", lambda h: F.pmod(h, F.lit(SAMPLED)) == 0).alias("sample"), _parity("set").alias("q"))
+    sets = own.select("k1", F.explode(F.array(shingles(F.col("norm")))).alias("set"))
+    return sets.select("k1", F.size("set").alias("n"), "set", _parity("set").alias("q"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) of k1 whose lines' shingle sets have the Jaccard similarity; ``texts`` is as of ``line_texts``.
-
-    Two tests come before the exact one.  That of the set sizes loses nothing, as
-    the lesser is at least the similarity times the greater.  That of the samples drops a
-    pair if more of the two samples' union is not common than DEVIATIONS standard
-    deviations over what it is at the similarity: about one in ten thousand of
-    the pairs exactly there, less above.
-    """
-    size = lambda side, key: texts.select(F.col("k1").alias(key), F.col("n").alias(f"n{side}"), F.col("sample").alias(f"s{side}"))
-    sized = pairs.join(size("x", "a").hint("shuffle_hash"), "a").join(size("y", "b").hint("shuffle_hash"), "b")
-    even = sized.filter(F.least("nx", "ny") >= (similarity - _ROUNDING) * F.greatest("nx", "ny"))
-    counted = even.select("a", "b", "nx", "ny", (F.size("sx") + F.size("sy")).alias("both"), F.explode(F.array(F.size(F.array_union("sx", "sy")))).alias("one"))
-    apart, most = 2 * F.col("one") - F.col("both"), (1 - similarity) * F.col("one")
-    near = counted.filter(apart <= most + DEVIATIONS * F.sqrt(similarity * most)).select("a", "b", (F.col("nx") + F.col("ny")).alias("n"))
-    text = lambda side, key: texts.select(F.col("k1").alias(key), F.col("norm").alias(side)).hint("shuffle_hash")
-    met = near.join(text("x", "a"), "a").join(text("y", "b"), "b")
-    # no shingle goes over the line end between the two, so this is the union of their sets
-    short = (F.char_length("x") < WIDTH) | (F.char_length("y") < WIDTH)
-    joined = F.size(shingles(F.concat_ws("\n", "x", "y")))
-    union = F.when(short, F.size(F.array_union(shingles(F.col("x")), shingles(F.col("y"))))).otherwise(joined)
-    # |x & y| >= t |x | y|, with |x & y| = |x| + |y| - |x | y|
-    return met.filter(F.col("n") >= (1 + similarity - _ROUNDING) * union).select("a", "b")
+    """The pairs (a, b) of k1 whose lines' shingle sets have the Jaccard similarity; ``texts`` is as of ``line_texts``."""
+    side = lambda x, key: texts.select(F.col("k1").alias(key), F.col("n").alias(f"n{x}"), F.col("set").alias(x))
+    met = pairs.join(side("x", "a"), "a").join(side("y", "b"), "b")
+    even = met.filter(F.least("nx", "ny") >= (similarity - _ROUNDING) * F.greatest("nx", "ny"))
+    # |x & y| >= t |x | y|, with |x | y| = |x| + |y| - |x & y|
+    return even.filter((1 + similarity) * F.size(F.array_intersect("x", "y")) >= (similarity - _ROUNDING) * (F.col("nx") + F.col("ny"))).select("a", "b")
 
 
 def components(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -326,34 +363,31 @@ def components(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "d
     scratch.release()
     shared = scratch.save(shared_bands(table), "bands")
     scratch.release()
-    pairs = scratch.save(candidates(table, shared=shared), "line-pairs")
+    members = scratch.save(band_members(table, shared), "band-members")
+    scratch.drop("bands")
     scratch.release()
-
-    texts = scratch.save(line_texts(pairs, table, docs, id_col, text_col), "texts")
+    pairs = scratch.save(candidates(table, members=members), "line-pairs")
     scratch.release()
-
-    edges = scratch.save(verified(pairs, texts, similarity), "links-near")
+    texts = scratch.save(line_texts(pairs, table, docs, id_col, text_col).select("k1", "n", "set"), "texts")
+    scratch.release()
+    parts = scratch.save(connected_components(verified(pairs, texts, similarity), "lines"), "parts-near")
     scratch.release()
-    parts = scratch.save(connected_components(edges, "lines"), "parts-near")
     # what the search of large bands leaves over: first hubs, then all that are still apart
-    members = scratch.save(with_partner(open_bands(large_bands(table, shared), parts)), "open-bands")
-    scratch.drop("bands")
+    members = scratch.save(with_partner(open_bands(large_bands(members), parts)), "open-bands")
     lines = scratch.save(members.select("k1").distinct(), "open-lines")
+    scratch.drop("band-members")
     scratch.release()
-    new = lines.join(texts.select("k1"), "k1", "left_anti")
-    more_texts = scratch.save(line_texts(new.select(F.col("k1").alias("a"), F.col("k1").alias("b")), table, docs, id_col, text_col), "texts-open")
-    scratch.release()
-    texts = texts.unionAll(more_texts)
-    for step, meet in (("hubs", hub_pairs), ("rest", rest_pairs)):
-        met = meet(open_bands(members, parts).join(texts.select("k1", "n", "q"), "k1"), similarity)
-        more = scratch.save(met.join(pairs, ["a", "b"], "left_anti"), f"pairs-{step}")
+    if not lines.isEmpty():
+        open_texts = scratch.save(line_texts(lines.select(F.col("k1").alias("a"), F.col("k1").alias("b")), table, docs, id_col, text_col), "texts-open")
         scratch.release()
-        if not more.isEmpty():
-            edges = edges.unionAll(scratch.save(verified(more, texts, similarity), f"links-{step}"))
+        for step, meet in (("hubs", hub_pairs), ("rest", rest_pairs)):
+            met = meet(open_bands(members, parts).join(open_texts.select("k1", "n", "q"), "k1"), similarity)
+            more = scratch.save(met.join(pairs, ["a", "b"], "left_anti"), f"pairs-{step}")
             scratch.release()
-            parts = scratch.save(connected_components(edges, f"lines-{step}"), f"parts-{step}")
-    scratch.drop("line-pairs", "open-bands", "texts", "texts-open")
-    scratch.release()
+            if not more.isEmpty():
+                links = verified(more, open_texts, similarity).unionAll(parts.select(F.col("node").alias("a"), F.col("component").alias("b")))
+                parts = scratch.save(connected_components(links, f"lines-{step}"), f"parts-{step}")
+                scratch.release()
     named = table.select("k1", "doc_id").join(parts, table["k1"] == parts["node"], "left").select("k1", "doc_id", F.coalesce("component", "k1").alias("component"))
     first = named.groupBy("component").agg(F.min(F.struct("doc_id", "k1"))["k1"].alias("first"))
     found = scratch.save(named.join(first, "component").select("k1", "doc_id", "component", (F.col("k1") == F.col("first")).alias("keeper")), "line-components")
