@@ -41,7 +41,7 @@ from barloom.llm.components import connected_components
 WIDTH = 5
 SKETCH = 10
 #: Marks among a line's ranks, and entries that make the band of a mark.
-BANDS = 10
+BANDS = 12
 RUN = 6
 #: Ranks that a kind of band needs, and under which a line has the next kind too; lines that share four fifths of their shingles so have one in common.
 ENOUGH, FEW = 16, 24
